@@ -51,8 +51,12 @@ def pearson_pairs(df: DataFrame, names: list[str], centre: dict[str, float | Non
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    # rounding leaves a tiny rest where the true variance is zero
-    flat = (vx <= F.col("sxx") * 1e-14) | (vy <= F.col("syy") * 1e-14)
+    # what rounding leaves where the true variance is zero: a tiny part of the sum of squares,
+    # or deviations from the mean of a few units in the last place
+    last_place = F.array(*[F.lit((8 * 2.2e-16 * (centre.get(c) or 0.0)) ** 2) for c in names])
+    noise = lambda c, sq: F.greatest(F.col(sq) * 1e-12,
+                                     F.col("n") * F.element_at(last_place, F.col(c) + 1))
+    flat = (vx <= noise("i", "sxx")) | (vy <= noise("j", "syy"))
     value = F.when(~flat, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
     return (pair_sums(df, names, centre).filter((F.col("i") < F.col("j")) & (F.col("n") > 0))
             .select("i", "j", label("i").alias("col_a"), label("j").alias("col_b"),
