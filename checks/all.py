@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from checks import columns  # noqa: F401
+from checks import association, columns  # noqa: F401

@@ -57,7 +57,8 @@ def pearson_pairs(df: DataFrame, names: list[str], centre: dict[str, float | Non
     noise = lambda c, sq: F.greatest(F.col(sq) * 1e-12,
                                      F.col("n") * F.element_at(last_place, F.col(c) + 1))
     flat = (vx <= noise("i", "sxx")) | (vy <= noise("j", "syy"))
-    value = F.when(~flat, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+    r = F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))
+    value = F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     return (pair_sums(df, names, centre).filter((F.col("i") < F.col("j")) & (F.col("n") > 0))
             .select("i", "j", label("i").alias("col_a"), label("j").alias("col_b"),
-                    F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)).alias("value")))
+                    value.alias("value")))
