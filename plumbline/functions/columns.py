@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.words import SPACE
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType, T.BooleanType)
 DATETIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -65,7 +67,7 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\S+"))
+    return F.regexp_count(c, F.lit(rf"[^{SPACE}]+"))
 
 
 def in_groups(names: Iterable[str], size: int = COLUMNS_PER_AGGREGATE) -> list[list[str]]:
