@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from checks import association, columns, drift, text  # noqa: F401
+from checks import association, columns, drift, series, text  # noqa: F401
