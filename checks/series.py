@@ -180,8 +180,8 @@ def j12(t):
 
 
 DECOMPOSE = """
-SELECT series_id, strftime(ds, '%Y-%m-%d %H:%M:%S') AS ds, round(y, 5) AS y, round(trend, 5) AS trend,
-  round(seasonal, 5) AS seasonal, round(y - trend - seasonal, 5) AS residual
+SELECT series_id, strftime(ds, '%Y-%m-%d %H:%M:%S') AS ds, round(y, {r}) AS y, round(trend, {r}) AS trend,
+  round(seasonal, {r}) AS seasonal, round(y - trend - seasonal, {r}) AS residual
 FROM (SELECT *, avg(y - trend) OVER (PARTITION BY series_id, pos % {p}) - c AS seasonal FROM full_trend
   JOIN (SELECT series_id, avg(m) AS c FROM (SELECT series_id, avg(y - trend) AS m FROM full_trend
     GROUP BY series_id, pos % {p}) GROUP BY series_id) USING (series_id))"""
@@ -199,9 +199,9 @@ for _kind, _load, _p in (("daily", daily, 7), ("monthly", monthly, 12), ("hourly
     _k = _p // 2
     _total = "sum(y) OVER w" + (f" - (lag(y, {_k}) OVER o + lead(y, {_k}) OVER o) / 2" if _p % 2 == 0 else "")
     query(f"j10_seasonal_decompose_{_kind}", series_sql(
-        _kind, DECOMPOSE.format(p=_p), TREND.format(p=_p, k=_k, total=_total)))(
-        lambda t, load=_load: rounded(st.seasonal_decompose(load(t)).select(
-            "series_id", at(), "y", "trend", "seasonal", "residual"), "y", "trend", "seasonal", "residual", digits=5))
+        _kind, DECOMPOSE.format(p=_p, r=9 if _kind == "hourly" else 5), TREND.format(p=_p, k=_k, total=_total)))(
+        lambda t, load=_load, r=9 if _kind == "hourly" else 5: rounded(st.seasonal_decompose(load(t)).select(
+            "series_id", at(), "y", "trend", "seasonal", "residual"), "y", "trend", "seasonal", "residual", digits=r))
 
 
 @query("j7_adf_test")
