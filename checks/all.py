@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from checks import association, columns, drift, prepare, series, text  # noqa: F401
+from checks import association, columns, drift, ml, prepare, series, text  # noqa: F401
