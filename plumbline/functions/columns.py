@@ -13,9 +13,9 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 DATETIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
 
-# Columns handled by one aggregate; more go to further aggregates so that the
-# generated code of each stays within the JVM's method limits.
-COLUMNS_PER_AGGREGATE = 40
+# Spark drops generated code for a stage with more than 100 fields; one wide
+# aggregate keeps its buffers below that and further columns go to further ones.
+BUFFERS_PER_AGGREGATE = 90
 
 
 def quoted(name: str) -> Column:
@@ -70,7 +70,7 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(rf"[^{SPACE}]+"))
 
 
-def in_groups(names: Iterable[str], size: int = COLUMNS_PER_AGGREGATE) -> list[list[str]]:
+def in_groups(names: Iterable[str], size: int) -> list[list[str]]:
     names = list(names)
     return [names[i:i + size] for i in range(0, len(names), size)]
 
@@ -82,16 +82,28 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def unfold(df: DataFrame, rows: list[list[Column]], names: list[str],
+           keep: list[Column] = ()) -> DataFrame:
+    """Several rows for each row of ``df``: one per entry of ``rows``, with the given names.
+
+    ``stack`` runs in generated code without building arrays of structs.
+    """
+    cells = [c for row in rows for c in row]
+    return df.select(*keep, F.stack(F.lit(len(rows)), *cells).alias(*names))
+
+
 def aggregate_long(df: DataFrame, per_column: dict[str, dict[str, Column]],
-                   key: str = "column", schema: str | None = None) -> DataFrame:
-    """One pass of many aggregates, turned into one row per key.
+                   key: str = "column", buffers: int | None = None) -> DataFrame:
+    """Wide aggregates over the table, turned into one row per key.
 
     ``per_column`` maps a key to its named aggregates; all keys give the same
-    names.  The one-row wide result is unfolded with ``inline``, so no row
-    multiplication happens before the aggregation.
+    names.  ``buffers`` is the number of buffer fields they need per key (two
+    each unless told).  The one-row wide result is unfolded with ``inline``, so
+    no row multiplication happens before the aggregation.
     """
     frames = []
-    for group in in_groups(per_column):
+    width = buffers or 2 * max(len(v) for v in per_column.values())
+    for group in in_groups(per_column, max(1, BUFFERS_PER_AGGREGATE // width)):
         aggs, structs = [], []
         for i, name in enumerate(group):
             fields = [F.lit(name).alias(key)]

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import aggregate_long, as_double, as_text, kinds, quoted
+from plumbline.functions.columns import aggregate_long, as_double, as_text, kinds, quoted, unfold
 
 
 def digest(*cols: Column) -> Column:
@@ -13,24 +13,22 @@ def digest(*cols: Column) -> Column:
                     F.xxhash64(F.lit(2), nulls, *cols).alias("h2"))
 
 
-def _keys(df: DataFrame, names: list[str]) -> Column:
-    """Per column (index, h1, h2), null values left out.
+def _keys(df: DataFrame, names: list[str]) -> DataFrame:
+    """``i, h1, h2``: the column's index and the value's key, one row per cell.
 
-    The 64-bit hash of one 8-byte number is a bijection, so numbers keep an
-    exact key; text of any length shrinks to 128 bits before the shuffle.
+    The 64-bit hash of one 8-byte value is a bijection, so numbers and times
+    keep an exact key; text of any length shrinks to 128 bits before the shuffle.
     """
     kind = kinds(df)
-    cells = []
+    rows = []
     for i, name in enumerate(names):
         c = quoted(name)
-        if kind[name] == "numeric":
-            h1, h2 = F.xxhash64(c), F.lit(0).cast("bigint")
-        else:
-            c = as_text(df, name)
+        if kind[name] == "string":
             h1, h2 = F.xxhash64(F.lit(1), c), F.xxhash64(F.lit(2), c)
-        cells.append(F.struct(F.lit(i).alias("i"), F.when(c.isNotNull(), h1).alias("h1"),
-                              h2.alias("h2")))
-    return F.filter(F.array(*cells), lambda s: s["h1"].isNotNull())
+        else:
+            h1, h2 = F.xxhash64(c), F.lit(0).cast("bigint")
+        rows.append([F.lit(i), F.when(c.isNotNull(), h1), h2])
+    return unfold(df, rows, ["i", "h1", "h2"]).filter("h1 is not null")
 
 
 def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -43,7 +41,7 @@ def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
     if not names:
         return df.sparkSession.createDataFrame([], "column string, n_distinct bigint, top_n bigint, n_present bigint")
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
-    return (df.select(F.explode(_keys(df, names)).alias("k")).select("k.*")
+    return (_keys(df, names)
             .groupBy("i", "h1", "h2").agg(F.count("*").alias("n"))
             .groupBy("i").agg(F.count("*").alias("n_distinct"), F.max("n").alias("top_n"),
                               F.sum("n").alias("n_present"))
@@ -59,20 +57,16 @@ def approx_distinct_counts(df: DataFrame, names: list[str], rsd: float = 0.01) -
 
 def text_counts(df: DataFrame, names: list[str], null_as: str | None = None) -> DataFrame:
     """``(column, value, n)`` of the named columns as text; nulls dropped or replaced."""
-    cells = []
+    rows = []
     for name in names:
         c = as_text(df, name)
-        cells.append(F.struct(F.lit(name).alias("column"),
-                              (F.coalesce(c, F.lit(null_as)) if null_as else c).alias("value")))
-    return (df.select(F.explode(F.array(*cells)).alias("k")).select("k.*")
-            .filter(F.col("value").isNotNull())
+        rows.append([F.lit(name), F.coalesce(c, F.lit(null_as)) if null_as else c])
+    return (unfold(df, rows, ["column", "value"]).filter("value is not null")
             .groupBy("column", "value").agg(F.count("*").alias("n")))
 
 
 def number_counts(df: DataFrame, names: list[str], by: list[str] = ()) -> DataFrame:
     """``(by..., column, value, n)`` of the named columns as doubles, nulls dropped."""
-    cells = [F.struct(F.lit(n).alias("column"), as_double(n).alias("value")) for n in names]
-    return (df.select(*by, F.explode(F.array(*cells)).alias("k")).select(*by, "k.*")
-            .filter(F.col("value").isNotNull())
+    rows = [[F.lit(n), as_double(n)] for n in names]
+    return (unfold(df, rows, ["column", "value"], [quoted(c) for c in by]).filter("value is not null")
             .groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
-

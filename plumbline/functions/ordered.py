@@ -9,7 +9,7 @@ its starting offset and windows then run inside one (group, chunk).
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import quoted
+from plumbline.functions.columns import quoted, unfold
 from plumbline.functions.session import cut_lineage
 
 # Rows of a group that one window or one Python call sees.
@@ -61,13 +61,13 @@ def overlapped(df: DataFrame, by: list[str], pos: str = "pos", before: int = 0,
     p = F.col(pos)
     home = F.floor(p / rows).cast("bigint")
     inside = p - home * rows
-    homes = F.array(
-        F.struct(home.alias("c"), F.lit(True).alias("own")),
-        F.struct(F.when(inside >= rows - before, home + 1).alias("c"), F.lit(False).alias("own")),
-        F.struct(F.when((inside < after) & (home > 0), home - 1).alias("c"),
-                 F.lit(False).alias("own")))
-    return (df.withColumn("_h", F.explode(F.filter(homes, lambda h: h["c"].isNotNull())))
-            .select(*df.columns, F.col("_h.c").alias("_chunk"), F.col("_h.own").alias("_own")))
+    rows_ = [[home, F.lit(True)]]
+    if before:
+        rows_.append([F.when(inside >= rows - before, home + 1), F.lit(False)])
+    if after:
+        rows_.append([F.when((inside < after) & (home > 0), home - 1), F.lit(False)])
+    return (unfold(df, rows_, ["_chunk", "_own"], [quoted(c) for c in df.columns])
+            .filter("_chunk is not null"))
 
 
 def chunk_window(by: list[str], pos: str = "pos") -> Window:

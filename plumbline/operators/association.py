@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import STANDARD, Thresholds
 from plumbline.functions.columns import (aggregate_long, as_double, as_text, kinds, quoted,
-                                         rounded, union_all)
+                                         unfold)
 from plumbline.functions.frequency import distinct_counts
 from plumbline.functions.gram import pair_sums, pearson_pairs
 from plumbline.functions.ordered import running_sums
@@ -133,7 +133,7 @@ def target_pearson(target: Target, columns: list[str]) -> DataFrame:
         xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
         per[c] = {"pearson": F.try_divide(F.covar_samp(xs, ys),
                                           F.stddev_samp(xs) * F.stddev_samp(ys))}
-    return (aggregate_long(target.with_numeric(), per)
+    return (aggregate_long(target.with_numeric(), per, buffers=10)
             .withColumn("arbitrary_codes", F.lit(target.arbitrary_codes)))
 
 
@@ -144,9 +144,8 @@ def target_spearman(target: Target, columns: list[str]) -> DataFrame:
     come from running counts over range-partitioned values and are joined back,
     so no column is ever sorted in one task.
     """
-    cells = [F.struct(F.lit(c).alias("column"), as_double(c).alias("x"), F.col("_y").alias("y"))
-             for c in columns]
-    pairs = (target.with_numeric().select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    rows = [[F.lit(c), as_double(c), F.col("_y")] for c in columns]
+    pairs = (unfold(target.with_numeric(), rows, ["column", "x", "y"])
              .filter("x is not null and y is not null")
              .groupBy("column", "x", "y").agg(F.count("*").alias("n")))
     ranked = pairs
@@ -167,9 +166,8 @@ def target_spearman(target: Target, columns: list[str]) -> DataFrame:
 
 
 def _category_cells(df: DataFrame, columns: list[str], *others: Column) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in columns]
-    return (df.select(*others, F.explode(F.array(*cells)).alias("s")).select("s.*", *[
-        F.col(n) for n in df.select(*others).columns]).filter("value is not null"))
+    rows = [[F.lit(c), as_text(df, c)] for c in columns]
+    return unfold(df, rows, ["column", "value"], list(others)).filter("value is not null")
 
 
 def category_impact_regression(target: Target, columns: list[str]) -> DataFrame:
@@ -270,19 +268,17 @@ def quintile_edges(df: DataFrame, columns: list[str], n_rows: int | None = None,
 
 def _bucketed(df: DataFrame, edges: dict[str, list[float]], *others: Column) -> DataFrame:
     """(others..., column, bucket, lo, hi): right-closed buckets, lowest value included."""
-    cells = []
+    rows = []
     for c, e in edges.items():
         x = as_double(c)
         bucket = F.lit(0)
         for inner in e[1:-1]:
             bucket = bucket + (x > inner).cast("int")
-        cells.append(F.struct(F.lit(c).alias("column"),
-                              F.when(x.isNotNull(), bucket).alias("bucket")))
+        rows.append([F.lit(c), F.when(x.isNotNull(), bucket)])
     lo = F.create_map(*[k for c, e in edges.items() for k in (
         F.lit(c), F.array(*[F.lit(float(x)) for x in e]))])[F.col("column")]
     names = df.select(*others).columns if others else []
-    return (df.select(*others, F.explode(F.array(*cells)).alias("s")).select("s.*", *names)
-            .filter("bucket is not null")
+    return (unfold(df, rows, ["column", "bucket"], list(others)).filter("bucket is not null")
             .select(*names, "column", "bucket", F.element_at(lo, F.col("bucket") + 1).alias("lo"),
                     F.element_at(lo, F.col("bucket") + 2).alias("hi")))
 

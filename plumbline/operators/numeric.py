@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import STANDARD, Thresholds
-from plumbline.functions.columns import aggregate_long, as_double, as_text, quoted, rounded, union_all
+from plumbline.functions.columns import aggregate_long, as_double, as_text, quoted, rounded, unfold, union_all
 from plumbline.functions.frequency import distinct_counts
 from plumbline.functions.gram import pearson_pairs
 from plumbline.functions.quantiles import exact_quantiles
@@ -93,9 +93,8 @@ def monotonic_increasing(df: DataFrame, columns: list[str], order_col: str) -> D
     share once and reports its first value, last value and whether it was in
     order, so nothing needs the whole column in one place.
     """
-    cells = [F.struct(F.lit(c).alias("column"), quoted(order_col).alias("at"),
-                      as_double(c).alias("x")) for c in columns]
-    rows = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    rows = unfold(df, [[F.lit(c), quoted(order_col), as_double(c)] for c in columns],
+                  ["column", "at", "x"])
     ordered = (rows.repartitionByRange("column", "at", "x")
                .sortWithinPartitions("column", "at", "x")
                .select("column", "x", F.spark_partition_id().alias("chunk")))

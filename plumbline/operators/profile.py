@@ -41,9 +41,9 @@ def moments(df: DataFrame, names: list[str]) -> DataFrame:
             "n_rows": F.count("*"), "n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x),
             "min": F.min(x), "max": F.max(x), "skew_pop": F.skewness(x),
             "kurt_pop": F.kurtosis(x), "n_zero": F.count_if(x == 0),
-            "integral": F.bool_and(x == F.floor(x)),
+            "integral": F.count_if(x != F.rint(x)) == 0,
         }
-    return aggregate_long(df, per)
+    return aggregate_long(df, per, buffers=20)
 
 
 def corrected_skewness(skew: Column, n: Column) -> Column:
@@ -70,7 +70,7 @@ def text_shape(df: DataFrame, names: list[str]) -> DataFrame:
             "address": F.avg(s.rlike(ADDRESS).cast("int")),
             "coordinate": F.avg(s.rlike(COORDINATE).cast("int")),
         }
-    return aggregate_long(df, per)
+    return aggregate_long(df, per, buffers=14)
 
 
 @dataclass
@@ -145,7 +145,7 @@ class Profile:
             f = out[r["column"]]
             f.n_rows, f.n, f.n_zero = r["n_rows"], r["n"], r["n_zero"]
             f.mean, f.std, f.min, f.max = r["mean"], r["std"], r["min"], r["max"]
-            f.integral = bool(r["integral"]) if r["integral"] is not None else True
+            f.integral = r["integral"]
             if f.n > 2 and r["skew_pop"] is not None:
                 f.skewness = r["skew_pop"] * (f.n * (f.n - 1)) ** 0.5 / (f.n - 2)
             if f.n > 3 and r["kurt_pop"] is not None:
@@ -255,8 +255,7 @@ def integer_valued(df: DataFrame) -> DataFrame:
     """``column, integer_valued`` for numeric columns."""
     df = normalise(df)
     names = [c for c, k in kinds(df).items() if k == "numeric"]
-    per = {c: {"integer_valued": F.coalesce(F.bool_and(as_double(c) == F.floor(as_double(c))),
-                                            F.lit(True))} for c in names}
+    per = {c: {"integer_valued": F.count_if(as_double(c) != F.rint(as_double(c))) == 0} for c in names}
     return aggregate_long(df, per)
 
 

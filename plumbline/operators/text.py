@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import aggregate_long, as_text, kinds, union_all, word_count
+from plumbline.functions.columns import (aggregate_long, as_text, kinds, unfold, union_all,
+                                         word_count)
 from plumbline.functions.frequency import digest, distinct_counts
 from plumbline.functions.words import DIGIT, LINK, SPECIAL, STOP_WORDS, stripped, tokens
 from plumbline.operators.profile import text_shape
@@ -89,10 +90,9 @@ def duplicate_texts(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Only a 128-bit key of each text is shuffled.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.when(
-        as_text(df, c).isNotNull(), digest(F.lower(stripped(as_text(df, c))))).alias("key"))
-        for c in columns])
-    return (df.select(F.explode(cells).alias("s")).select("s.*").filter("key is not null")
+    rows = [[F.lit(c), F.when(as_text(df, c).isNotNull(),
+                              digest(F.lower(stripped(as_text(df, c)))))] for c in columns]
+    return (unfold(df, rows, ["column", "key"]).filter("key is not null")
             .groupBy("column", "key").agg(F.count("*").alias("n"))
             .groupBy("column")
             .agg(F.round(1 - F.count("*") / F.sum("n"), 4).alias("duplicate_ratio")))
@@ -112,10 +112,9 @@ def vectorization_advice(df: DataFrame, columns: list[str], counts: DataFrame) -
 
 def per_class_lengths(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     """``column, class, n, avg_words, avg_chars``."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), word_count(as_text(df, c)).alias("w"),
-                               F.length(as_text(df, c)).alias("l")) for c in columns])
-    return (df.select(as_text(df, by).alias("class"), F.explode(cells).alias("s"))
-            .select("class", "s.*").filter("class is not null and l is not null")
+    rows = [[F.lit(c), word_count(as_text(df, c)), F.length(as_text(df, c))] for c in columns]
+    return (unfold(df, rows, ["column", "w", "l"], [as_text(df, by).alias("class")])
+            .filter("class is not null and l is not null")
             .groupBy("column", "class")
             .agg(F.count("*").alias("n"), F.round(F.avg("w"), 2).alias("avg_words"),
                  F.round(F.avg("l"), 2).alias("avg_chars")))

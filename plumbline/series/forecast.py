@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import unfold
 from plumbline.functions.ordered import CHUNK_ROWS, chunk_window, overlapped
 from plumbline.series.prepare import KEY, SeriesSet
 from plumbline.series.stats import (_least_squares, chunk_arrays, kpss_pvalue, kpss_statistic,
@@ -169,10 +170,9 @@ def _differences(s: SeriesSet) -> DataFrame:
     y, y1, y2 = F.col("y"), F.lag("y", 1).over(w), F.lag("y", 2).over(w)
     rows = (overlapped(train, [KEY], before=MAX_D).withColumns({"d1": y - y1, "d2": y - 2 * y1 + y2})
             .filter("_own"))
-    cells = F.array(*[F.struct(F.lit(d).alias("d"), (F.col("pos") - d).alias("pos"),
-                               F.col(c).alias("y"), (F.col("split") - d).alias("n"))
-                      for d, c in ((0, "y"), (1, "d1"), (2, "d2"))])
-    return rows.select(KEY, F.explode(cells).alias("c")).select(KEY, "c.*").filter("pos >= 0")
+    cells = [[F.lit(d), F.col("pos") - d, F.col(c), F.col("split") - d]
+             for d, c in ((0, "y"), (1, "d1"), (2, "d2"))]
+    return unfold(rows, cells, ["d", "pos", "y", "n"], [F.col(KEY)]).filter("pos >= 0")
 
 
 def choose_differencing(levels: DataFrame) -> DataFrame:
