@@ -5,9 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.sources.tables import read_parquet
+
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages "
         "benchmark labels conversations").split()
 
+# Small files whose rows cost much work each.
+LONG_TEXTS = {"documents", "pages"}
+
 # Derived tables; each text is valid in Spark SQL and in DuckDB.
 FIXTURES = {
     "li_gappy": """
@@ -87,7 +92,7 @@ class Tables:
             sql = re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", FIXTURES[name])
             used = set(re.findall(r"\{(\w+)\}", sql))
             return self.spark.sql(sql, **{n: self(n) for n in used})
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_parquet(self.spark, f"{self.folder}/{name}.parquet", spread=name in LONG_TEXTS)
 
 
 def query(name: str, sql: str | None = None):

@@ -14,18 +14,29 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     inputs.  Without a schema Spark infers one in another pass.
     """
     if encoding == "auto":
-        broken = spark.read.text(path).filter(F.contains("value", F.lit("�")))
+        broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
         encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
-    reader = spark.read.options(header=True, encoding=encoding, **options)
+    # quotes inside quoted values are doubled
+    reader = spark.read.options(**{"header": True, "encoding": encoding, "escape": '"', **options})
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     return df if limit is None else df.limit(limit)
 
 
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A Parquet file or folder; only the named columns are read."""
+def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None,
+                 spread: bool = False) -> DataFrame:
+    """A Parquet file or folder; only the named columns are read.
+
+    ``spread`` deals the rows of a table with fewer splits than there are cores
+    (one small file, one row group) out to all of them.  A table with enough
+    splits is left alone.
+    """
     df = spark.read.parquet(path)
-    return df if columns is None else df.select(*columns)
+    df = df if columns is None else df.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def validate_input(df: DataFrame, mode: str = "unlabeled", target: str | None = None) -> None:
