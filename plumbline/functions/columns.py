@@ -16,6 +16,7 @@ FRACTIONAL = (T.FloatType, T.DoubleType)
 # Spark drops generated code for a stage with more than 100 fields; one wide
 # aggregate keeps its buffers below that and further columns go to further ones.
 BUFFERS_PER_AGGREGATE = 90
+ROWS_PER_STACK = 60
 
 
 def quoted(name: str) -> Column:
@@ -86,10 +87,14 @@ def unfold(df: DataFrame, rows: list[list[Column]], names: list[str],
            keep: list[Column] = ()) -> DataFrame:
     """Several rows for each row of ``df``: one per entry of ``rows``, with the given names.
 
-    ``stack`` runs in generated code without building arrays of structs.
+    ``stack`` runs in generated code without building arrays of structs; very
+    wide tables are unfolded in slices so that the code stays small.
     """
-    cells = [c for row in rows for c in row]
-    return df.select(*keep, F.stack(F.lit(len(rows)), *cells).alias(*names))
+    def part(some):
+        cells = [c for row in some for c in row]
+        return df.select(*keep, F.stack(F.lit(len(some)), *cells).alias(*names))
+
+    return union_all([part(rows[i:i + ROWS_PER_STACK]) for i in range(0, len(rows), ROWS_PER_STACK)])
 
 
 def aggregate_long(df: DataFrame, per_column: dict[str, dict[str, Column]],

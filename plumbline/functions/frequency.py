@@ -50,9 +50,9 @@ def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
 def approx_distinct_counts(df: DataFrame, names: list[str], rsd: float = 0.01) -> DataFrame:
     """Sketch version of ``distinct_counts`` without a shuffle of values (no ``top_n``)."""
-    return (aggregate_long(df, {n: {"n_distinct": F.approx_count_distinct(quoted(n), rsd)}
-                                for n in names})
-            .withColumn("top_n", F.lit(None).cast("bigint")))
+    per = {n: {"n_distinct": F.approx_count_distinct(quoted(n), rsd), "n_present": F.count(quoted(n))}
+           for n in names}
+    return aggregate_long(df, per).withColumn("top_n", F.lit(None).cast("bigint"))
 
 
 def text_counts(df: DataFrame, names: list[str], null_as: str | None = None) -> DataFrame:

@@ -151,14 +151,20 @@ class Profile:
             if f.n > 3 and r["kurt_pop"] is not None:
                 f.kurtosis = ((f.n - 1) * ((f.n + 1) * r["kurt_pop"] + 6)
                               / ((f.n - 2) * (f.n - 3)))
-        for r in text_shape(self.df, texts).collect() if texts else []:
-            f = out[r["column"]]
-            f.n_rows, f.n = r["n_rows"], r["n"]
-            for k in ("words", "length", "words_std", "address", "coordinate"):
-                setattr(f, k, r[k])
         counter = approx_distinct_counts if self.approximate_distinct else distinct_counts
         for r in counter(self.df, usable).collect():
-            out[r["column"]].n_distinct, out[r["column"]].top_n = r["n_distinct"], r["top_n"]
+            f = out[r["column"]]
+            f.n_distinct, f.top_n = r["n_distinct"], r["top_n"]
+            if f.kind != "numeric":
+                f.n = r["n_present"]
+        n_rows = self.df.count() if texts else 0
+        for c in texts:
+            out[c].n_rows = n_rows
+        # only these can be anything but categories or identifiers
+        shaped = [c for c in texts if 0.02 < out[c].ratio < 0.95]
+        for r in text_shape(self.df, shaped).collect() if shaped else []:
+            for k in ("words", "length", "words_std", "address", "coordinate"):
+                setattr(out[r["column"]], k, r[k])
         codes = [f for f in out.values() if f.kind == "numeric" and f.integral
                  and f.n_distinct > 50 and f.ratio <= 0.5]
         p5 = exact_quantiles(

@@ -1,9 +1,10 @@
 """Text cleaning and tf-idf features in long form."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_double, quoted
+from plumbline.functions.session import cut_lineage
 from plumbline.functions.words import LINK, MAIL, SPACE, SPECIAL, STOP_WORDS, TAG, stripped
 
 MAX_TERMS, MIN_DOCS = 5000, 2
@@ -45,7 +46,6 @@ def vocabulary(counts: DataFrame, max_terms: int = MAX_TERMS, min_docs: int = MI
 
     A distributed top-k keeps at most ``max_terms`` rows.
     """
-    from pyspark.sql import Window
     top = (counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
            .filter(F.col("df") >= min_docs).orderBy(F.desc("total"), "term").limit(max_terms))
     # at most max_terms rows
@@ -55,7 +55,8 @@ def vocabulary(counts: DataFrame, max_terms: int = MAX_TERMS, min_docs: int = MI
 def tfidf_features(df: DataFrame, key: str, text: str, max_terms: int = MAX_TERMS,
                    min_docs: int = MIN_DOCS) -> DataFrame:
     """``key, term, index, weight``: sublinear tf times smoothed idf, unit length per text."""
-    counts = term_counts(df, key, text)
+    # cleaning is the dear part: its result is written once and read three times
+    counts = cut_lineage(term_counts(df, key, text))
     n = df.agg(F.count("*")).scalar()
     # the vocabulary has at most max_terms rows
     weighted = counts.join(F.broadcast(vocabulary(counts, max_terms, min_docs)), "term").withColumn(

@@ -55,6 +55,8 @@ def moving_average_forecast(s: SeriesSet, window: int = 7) -> DataFrame:
 
 HOLT_GRID = 9
 HOLT_ROUNDS = 3
+# Summaries one task merges; longer series are merged in several layers.
+MERGE_ROWS = 1024
 
 
 def _holt_candidates(alpha: float, beta: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +90,8 @@ def _holt_chunk(ys: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarr
     return np.column_stack([a.reshape(k, 4), b, q[:, 0, 0], q[:, 0, 1], q[:, 1, 1], r, c])
 
 
-def _holt_compose(rows: np.ndarray) -> tuple[float, np.ndarray]:
-    """Best initial state folded out: (sum of squared errors, state after the last chunk)."""
+def _holt_merge(rows: np.ndarray) -> np.ndarray:
+    """The summary of consecutive chunks from their summaries."""
     a, b, q, r, c = np.eye(2), np.zeros(2), np.zeros((2, 2)), np.zeros(2), 0.0
     for row in rows:
         ca, cb = row[:4].reshape(2, 2), row[4:6]
@@ -98,8 +100,14 @@ def _holt_compose(rows: np.ndarray) -> tuple[float, np.ndarray]:
         r = r + a.T @ (cq @ b + cr)
         q = q + a.T @ cq @ a
         a, b = ca @ a, ca @ b + cb
-    start = -np.linalg.pinv(q) @ r
-    return float(max(c + r @ start, 0.0)), a @ start + b
+    return np.r_[a.ravel(), b, q[0, 0], q[0, 1], q[1, 1], r, c]
+
+
+def _holt_compose(rows: np.ndarray) -> tuple[float, np.ndarray]:
+    """Best initial state folded out: (sum of squared errors, state after the last chunk)."""
+    m = _holt_merge(rows)
+    r, start = m[9:11], -np.linalg.pinv(np.array([[m[6], m[7]], [m[7], m[8]]])) @ m[9:11]
+    return float(max(m[11] + r @ start, 0.0)), m[:4].reshape(2, 2) @ start + m[4:6]
 
 
 def holt_fit(s: SeriesSet) -> DataFrame:
@@ -115,6 +123,7 @@ def holt_fit(s: SeriesSet) -> DataFrame:
               .select(KEY, "start", "ys").persist())
     best = mean.select(KEY, F.lit(0.5).alias("alpha"), F.lit(0.5).alias("beta"))
     reach = 0.5
+    longest = s.spec.agg(F.max("n")).first()[0] or 0
     values = [f"v{i}" for i in range(12)]
     schema = f"{KEY} string, start bigint, cand int, alpha double, beta double, " + ", ".join(
         f"{v} double" for v in values)
@@ -138,10 +147,21 @@ def holt_fit(s: SeriesSet) -> DataFrame:
                                   level, trend)],
                                 columns=[KEY, "alpha", "beta", "sse", "level", "trend"])
 
-        found = (chunks.join(best, KEY).select(KEY, "start", "ys", "alpha", "beta")
-                 .mapInPandas(summarise, schema)
-                 # one row per chunk and candidate: points / CHUNK_ROWS rows in a group
-                 .groupBy(KEY, "cand").applyInPandas(
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("start")
+            out = pdf.head(1).drop(columns="layer").copy()
+            out[values] = _holt_merge(pdf[values].to_numpy())
+            return out
+
+        parts = (chunks.join(best, KEY).select(KEY, "start", "ys", "alpha", "beta")
+                 .mapInPandas(summarise, schema))
+        span = CHUNK_ROWS * MERGE_ROWS
+        while longest > span:
+            parts = (parts.withColumn("layer", F.floor(F.col("start") / span))
+                     .groupBy(KEY, "cand", "layer").applyInPandas(merge, schema))
+            span *= MERGE_ROWS
+        # at most MERGE_ROWS rows per candidate
+        found = (parts.groupBy(KEY, "cand").applyInPandas(
                      fold, f"{KEY} string, alpha double, beta double, sse double, level double, trend double"))
         fit = found.groupBy(KEY).agg(F.min(F.struct("sse", "alpha", "beta", "level", "trend")).alias("_b"))
         best = fit.select(KEY, "_b.alpha", "_b.beta")

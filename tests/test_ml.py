@@ -109,6 +109,13 @@ def test_boosted_trees_learn_a_rule(spark):
     assert out["curves"].groupBy("fold").count().count() == 3
 
 
+def test_many_classes_share_a_forest(spark):
+    df = ft.with_vector(spark.range(900).select((F.col("id") % 30).cast("double").alias(sv.LABEL),
+                                                (F.col("id") % 30 + 0.0).alias("x"), (F.col("id") % 7 == 0).alias("_val")), ["x"])
+    fit = sv.boosted_fit(df, "classification", 30, rounds=5)
+    assert fit["score"] > 0.5 and len(fit["val"]) == 1
+
+
 def test_critical_table_stops_early(spark):
     p = Profile(spark.range(5).select("id", F.lit(1).alias("y")), "y")
     out = sv.labeled_diagnostics(p)

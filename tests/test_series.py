@@ -121,6 +121,9 @@ def test_holt_summaries_equal_the_recursion(long_series):
     rows = np.concatenate([st_rows[None] for st_rows in (
         fc._holt_chunk(part, np.array([a]), np.array([b]))[0] for part in np.array_split(y, 7))])
     sse, state = fc._holt_compose(rows)
+    layered = fc._holt_compose(np.stack([fc._holt_merge(rows[:3]), fc._holt_merge(rows[3:])]))
+    assert layered[0] == pytest.approx(sse, rel=1e-9)
+    np.testing.assert_allclose(layered[1], state, rtol=1e-7)
 
     def run(level, trend):
         total = 0.0
@@ -142,6 +145,20 @@ def test_holt_summaries_equal_the_recursion(long_series):
     np.testing.assert_allclose(state, end, rtol=1e-6)
 
 
+def test_holt_in_layers(spark, monkeypatch):
+    ts = pd.date_range("2020-01-01", periods=1000, freq="h")
+    df = spark.createDataFrame(pd.DataFrame({"ts": ts, "y": values("auto", 1000)}))
+    s = pr.prepare_series(df, "ts", "y")
+    whole = fc.holt_fit(s).first()
+    small = st.chunk_arrays
+    monkeypatch.setattr(fc, "chunk_arrays", lambda p, by, **k: small(p, by, rows=50))
+    monkeypatch.setattr(fc, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(fc, "MERGE_ROWS", 3)
+    layered = fc.holt_fit(s).first()
+    for k in ("alpha", "beta", "sse", "level", "trend"):
+        assert layered[k] == pytest.approx(whole[k], rel=1e-6)
+
+
 def test_holt_on_a_line(spark):
     ts = pd.date_range("2020-01-01", periods=200, freq="D")
     df = spark.createDataFrame(pd.DataFrame({"ts": ts, "y": 3.0 + 0.5 * np.arange(200)}))
