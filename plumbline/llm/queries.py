@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import minhash, packing, private, quality
+from plumbline.llm import minhash, packing, private, quality, secrets, warc
 from plumbline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,16 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_table(read(spark, folder, "documents"))
 
 
-for _query in (op2_minhash_near_duplicates, op4_sum_of_squares_packing, op5_surrogates, op7_quality_rules):
+def op6_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, folder, "documents"))
+
+
+def op9_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_table(read(spark, folder, "pages"))
+
+
+for _query in (op2_minhash_near_duplicates, op4_sum_of_squares_packing, op5_surrogates, op6_secret_ownership,
+               op7_quality_rules, op9_warc_transactions):
     QUERIES[_query.__name__] = _query
 
 # Words are [^\x20\x09-\x0D]+ after A-Z is lowered; links are confirmed on full sets.
@@ -46,3 +55,18 @@ r AS (SELECT doc_id AS a, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e
 SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept
 FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
+
+# Bare base32 of SHA-1: 40 hex digits to 160 bits to 32 letters.
+ORACLES["op9_warc_transactions"] = r"""
+WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(1, 41), lambda i: substr(
+    '0000000100100011010001010110011110001001101010111100110111101111',
+    (instr('0123456789abcdef', substr(hex, i, 1)) - 1) * 4 + 1, 4)), '') AS bits FROM h),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+    + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+    + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest FROM b),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM m
+"""
