@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import minhash, packing, private, quality, secrets, warc
+from plumbline.llm import html, minhash, packing, private, quality, secrets, warc
 from plumbline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +31,16 @@ def op6_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(read(spark, folder, "documents"))
 
 
+def op8_host_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return html.page_table(read(spark, folder, "pages"))
+
+
 def op9_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_table(read(spark, folder, "pages"))
 
 
 for _query in (op2_minhash_near_duplicates, op4_sum_of_squares_packing, op5_surrogates, op6_secret_ownership,
-               op7_quality_rules, op9_warc_transactions):
+               op7_quality_rules, op8_host_paths, op9_warc_transactions):
     QUERIES[_query.__name__] = _query
 
 # Words are [^\x20\x09-\x0D]+ after A-Z is lowered; links are confirmed on full sets.
