@@ -4,13 +4,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import html, minhash, packing, private, quality, secrets, warc
+from plumbline.llm import html, minhash, packing, private, quality, secrets, vectors, warc
 from plumbline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, folder, "embeddings"))
+
+
 def op2_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicate_table(read(spark, folder, "documents"))
 
@@ -39,7 +43,7 @@ def op9_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_table(read(spark, folder, "pages"))
 
 
-for _query in (op2_minhash_near_duplicates, op4_sum_of_squares_packing, op5_surrogates, op6_secret_ownership,
+for _query in (op1_vector_graph, op2_minhash_near_duplicates, op4_sum_of_squares_packing, op5_surrogates, op6_secret_ownership,
                op7_quality_rules, op8_host_paths, op9_warc_transactions):
     QUERIES[_query.__name__] = _query
 
