@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import html, minhash, packing, private, quality, secrets, vectors, warc
+from plumbline.llm import html, minhash, ngrams, packing, private, quality, secrets, vectors, warc
 from plumbline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,8 +43,12 @@ def op9_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_table(read(spark, folder, "pages"))
 
 
+def op10_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.score_texts(read(spark, folder, "documents"))
+
+
 for _query in (op1_vector_graph, op2_minhash_near_duplicates, op4_sum_of_squares_packing, op5_surrogates, op6_secret_ownership,
-               op7_quality_rules, op8_host_paths, op9_warc_transactions):
+               op7_quality_rules, op8_host_paths, op9_warc_transactions, op10_ngram_scores):
     QUERIES[_query.__name__] = _query
 
 # Words are [^\x20\x09-\x0D]+ after A-Z is lowered; links are confirmed on full sets.
