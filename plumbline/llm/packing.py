@@ -48,14 +48,14 @@ class WordEncoder:
         return [b"".join(map(get, ws)) for ws in words]
 
     def learn(self, words: set[bytes]) -> None:
-        new = words - self.known.keys()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > _CACHED_WORDS:
             self.known.clear()
             new = words
         if len(self.parts) > _CACHED_WORDS // 2:
             self.parts.clear()
         cut = {w: _cut(w.decode()) for w in new}
-        parts = list({p for ps in cut.values() for p in ps} - self.parts.keys())
+        parts = [p for p in {p for ps in cut.values() for p in ps} if p not in self.parts]
         for at in range(0, len(parts), 5000):
             chosen = parts[at:at + 5000]
             found = self.tokenizer.encode_batch_fast(chosen, add_special_tokens=False)
