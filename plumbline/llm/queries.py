@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import html, minhash, ngrams, packing, private, quality, secrets, vectors, warc
+from plumbline.llm import html, minhash, ngrams, packing, private, quality, secrets, segment, vectors, warc
 from plumbline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,10 @@ def op2_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicate_table(read(spark, folder, "documents"))
 
 
+def op3_sampled_segmentations(spark: SparkSession, folder: str) -> DataFrame:
+    return segment.sample_table(read(spark, folder, "documents"))
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_table(read(spark, folder, "documents"))
 
@@ -47,7 +51,8 @@ def op10_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.score_texts(read(spark, folder, "documents"))
 
 
-for _query in (op1_vector_graph, op2_minhash_near_duplicates, op4_sum_of_squares_packing, op5_surrogates, op6_secret_ownership,
+for _query in (op1_vector_graph, op2_minhash_near_duplicates, op3_sampled_segmentations,
+               op4_sum_of_squares_packing, op5_surrogates, op6_secret_ownership,
                op7_quality_rules, op8_host_paths, op9_warc_transactions, op10_ngram_scores):
     QUERIES[_query.__name__] = _query
 

@@ -123,7 +123,7 @@ def _centres(sample: pd.DataFrame) -> pd.DataFrame:
     """Spherical k-means on the sample of one path; as many centres as its rows need."""
     unit = _matrix(sample.sort_values("id")["unit"])
     # every vector goes to two clusters, which should be well under the limit
-    k = int(min(FANOUT, len(unit), max(2, math.ceil(3 * sample["rows"].iloc[0] / SHARD_ROWS))))
+    k = int(min(FANOUT, len(unit), max(3, math.ceil(3 * sample["rows"].iloc[0] / sample["most"].iloc[0]))))
     rng = np.random.default_rng(0)
     centre = unit[rng.choice(len(unit), k, replace=False)]
     for _ in range(10):
@@ -164,7 +164,7 @@ def shards(nodes: DataFrame, most: int = SHARD_ROWS) -> DataFrame:
             return stored(done.dropDuplicates(["path", "id"]), "shards")
         rest = rest.join(large, "path")
         share = F.lit(SAMPLE * 2.0 ** 32) / F.col("rows")
-        sample = rest.where(F.pmod(F.xxhash64("id", "path"), F.lit(2 ** 32)) < share)
+        sample = rest.withColumn("most", F.lit(most)).where(F.pmod(F.xxhash64("id", "path"), F.lit(2 ** 32)) < share)
         centres = sample.groupBy("path").applyInPandas(_centres, "path string, centres array<double>, k int")
         rest = stored(rest.join(stored(centres, "centres"), "path").select("path", "id", "unit", "centres", "k")
                       .mapInArrow(_deal, NODE), "split")
@@ -198,12 +198,12 @@ def _searches(cosine: float):
     return run
 
 
-def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
+def links(nodes: DataFrame, cosine: float = COSINE, most: int = SHARD_ROWS) -> DataFrame:
     """``(a, b)`` with a < b: linked nodes of one path of ``nodes``."""
     def pairs(df):
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    dealt = shards(nodes)
+    dealt = shards(nodes, most)
     own = stored(dealt.groupBy("id").agg(F.sort_array(F.collect_list("path")).alias("paths")), "paths")
     lists = stored(dealt.groupBy("path").applyInPandas(_edges, "id long, near array<long>, cos array<double>"), "lists")
     united = stored(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
@@ -262,7 +262,7 @@ def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, size: int
     return row[0], row[1]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, audited: bool = True) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, audited: bool = True, most: int = SHARD_ROWS) -> DataFrame:
     """``(vec_id, n_links, component_id, kept, recall)`` for every row of ``(vec_id, embedding, label)``.
 
     Only vectors of one label and length are compared.  Equal vectors are one
@@ -284,7 +284,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, audited: bool = Tru
     nodes = stored(classes.select(
         F.concat_ws(":", F.col("label").cast("string"), F.size("x")).alias("path"), "id",
         F.transform("x", lambda v: v / norm).alias("unit")), "nodes")
-    found = links(nodes, cosine)
+    found = links(nodes, cosine, most)
     recall = None
     if audited:
         true, hit = audit(nodes, found, cosine)
