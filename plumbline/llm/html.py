@@ -180,7 +180,9 @@ def parse(source: str) -> Page:
             skip = own or skip
             if tag in _CONTAINER and skip != "all":
                 page.parent.append(container)
-                page.label.append(f"{page.label[container]}>{label}" if container else label)
+                above = page.label[container]
+                # html and body may be left out of a page, and are left out of paths
+                page.label.append(above if tag in ("html", "body") else f"{above}>{label}" if above else label)
                 page.tag.append(tag)
                 container = len(page.parent) - 1
         in_link += tag == "a"

@@ -36,43 +36,44 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = DATE) ->
     """Write a request, a response or revisit, and a metadata record per row of ``(page_id, url, html)``.
 
     Of rows with one payload of at least ``least`` bytes the one with the largest
-    page_id (an absent one being the smallest) is the response, and the others
-    revisit it.  A null html is an empty payload, a null url leaves its header
-    out; repeated rows are captures of their own.  Spark's text sink writes the
+    page_id (an absent one being the smallest; among equals the largest url) is
+    the response, and the others revisit it.  A null html is an empty payload, a
+    null url leaves its header out.  Identifiers follow from page_id, url and
+    payload, so rows equal in all three are one capture.  Spark's text sink writes the
     archives, compressed, with the two line ends after a record as its line
     separator; the commit of its tasks covers lost executors.
     """
-    row = F.monotonically_increasing_id()
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), row.alias("row"),
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"),
                         F.sha1(html.cast("binary")).alias("sha1"))
     first = rows.where(F.octet_length("html") >= least).groupBy("sha1").agg(
-        F.max(F.struct("page_id", "row")).alias("r"), F.count("*").alias("n")) \
-        .where("n > 1").select("sha1", F.col("r.row").alias("first_row"))
+        F.max(F.struct("page_id", "url")).alias("first"), F.min(F.struct("page_id", "url")).alias("last")) \
+        .where("first != last").select("sha1", "first")
     rows = rows.join(first, "sha1", "left").withColumn(
-        "again", F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row")) & (F.octet_length("html") >= least))
+        "again", F.col("first").isNotNull() & (F.col("first") != F.struct("page_id", "url")))
 
-    def record_id(kind, of):
-        h = F.md5(F.concat_ws(":", F.lit(kind), of, F.lit(date)))
+    def record_id(kind, page_id="page_id", url="url"):
+        h = F.md5(F.concat_ws(":", F.lit(kind), F.coalesce(F.col(page_id).cast("string"), F.lit("-")),
+                              F.coalesce(F.col(url), F.lit("-")), F.col("sha1"), F.lit(date)))
         return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in (
             (1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
-    own, digest = record_id("response", F.col("row")), F.concat(F.lit("sha1:"), _base32("sha1"))
+    own, digest = record_id("response"), F.concat(F.lit("sha1:"), _base32("sha1"))
     host = F.coalesce(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1), F.lit(""))
     target = F.coalesce(F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^#\s]*)", 1), F.lit(""))
     ask = F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.octet_length("html"), F.lit(CRLF * 2))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
-    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", F.col("row"))),
+    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request")),
                        ("WARC-Concurrent-To", own), *common,
                        ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
     response = _record([("WARC-Type", F.when(F.col("again"), "revisit").otherwise("response")), ("WARC-Record-ID", own),
                         *common, ("WARC-Payload-Digest", digest),
-                        ("WARC-Refers-To", F.when(F.col("again"), record_id("response", F.col("first_row")))),
+                        ("WARC-Refers-To", F.when(F.col("again"), record_id("response", "first.page_id", "first.url"))),
                         ("WARC-Profile", F.when(F.col("again"), SAME_PAYLOAD)),
                         ("Content-Type", F.lit("application/http; msgtype=response"))],
                        F.when(F.col("again"), head).otherwise(F.concat(head, F.col("html"))))
-    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", F.col("row"))),
+    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata")),
                         ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/warc-fields"))],
                        F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)))
     rows.select(F.explode(F.array(request, response, metadata)).alias("value")) \
@@ -182,7 +183,7 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def archive_table(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the archives, read them back, and return one row per page.
+    """Write the archives, read them back, and return one row per capture.
 
     Payload size and digest come from the archived payload; a revisit takes them
     from the response that it refers to.
