@@ -66,7 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("node").agg(F.min("other").alias("low")).select(
             F.col("node"), F.least("node", "low").alias("low"))
         large = both.join(low, "node").where("other > node").select(
-            F.col("other").alias("hi"), F.col("low").alias("lo")).distinct()
+            F.col("other").alias("hi"), F.col("low").alias("lo"))
         low = large.groupBy("hi").agg(F.min("lo").alias("low"))
         small = large.join(low, "hi").where("lo != low").select(
             F.col("lo").alias("hi"), F.col("low").alias("lo")).unionAll(

@@ -94,10 +94,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when ``100 * |A & B| >= percent * |A | B|``.  Documents with
     one set are one class from the start.  Of a sketch only the rarest values are
     listed, as many as a linked partner must share one of (prefix filter), so
-    values common to many unlike documents make no lists.  Members of a list are
-    first held against a few pivots, which joins most of a large group of copies
-    without looking at its pairs; only pairs of members that are still in
-    different components are then formed.  Rows without an id, and empty sets,
+    values common to many unlike documents make no lists.  What a listed document
+    can share at most is counted on full sets.  Members of a list are first held
+    against a few pivots, the most central one before all, which joins a large
+    group of copies without looking at its pairs; then only pairs are formed that
+    are still in different components and whose sizes allow a link.  Rows without an id, and empty sets,
     link with nothing and are their own component.  Rows that repeat an id give
     a row each.
     """
@@ -116,8 +117,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     room = m - F.ceil(share * m - 1e-9) + 1 - (m - F.size("values"))
     index = stored(entries.join(shared, "value").groupBy("id", "n")
                    .agg(F.sort_array(F.collect_list(F.struct("docs", "value"))).alias("values"))
-                   .select("id", "n", F.explode(F.slice("values", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("e"))
-                   .select("id", "n", "e.value"), "lists")
+                   .select("id", "n", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v["docs"]).alias("weight"),
+                           F.explode(F.slice("values", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("e"))
+                   .select("id", "n", "weight", "e.value"), "lists")
     listed = index.select("id").distinct()
     sets = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
                   .join(listed, "id", "left_semi")
@@ -125,6 +127,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   .join(classes.select("id", "digest"), ["id", "digest"], "left_semi")
                   .dropDuplicates(["id"]), "sets")
 
+    # a partner can share only what some other listed document holds too
+    lone = sets.select("id", F.explode("shingles").alias("value")).groupBy("value").agg(
+        F.count("*").alias("docs"), F.min("id").alias("id")).where("docs = 1").groupBy("id").agg(F.count("*").alias("lone"))
+    index = stored(index.join(lone, "id", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone"), "members")
+
     def linked(pairs: DataFrame) -> DataFrame:
         for at in ("a", "b"):
             pairs = pairs.join(classes.select(F.col("id").alias(at), F.col("n").alias("n_" + at),
@@ -140,36 +147,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
                       .select("a", "b"), "links")
 
-    def alike(x, y):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    def alike(x, y, most_x, most_y):
+        """Whether two sizes, and what each document can share at most, allow a link."""
+        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) \
+            & ((100 + percent) * F.least(most_x, most_y) >= percent * (x + y))
 
-    links = label = None
+    links = None
     members = index.withColumn("component", F.col("id"))
     for turn in range(pivot_rounds):
-        spread = F.xxhash64("id", F.pmod("value", F.lit(4)), F.lit(turn))
-        pivots = members.groupBy("value").agg(F.min(F.struct(
-            spread.alias("h"), F.col("id").alias("p"), F.col("n").alias("p_n"),
+        # first the member that holds most of what the others hold, then some by hash
+        rank = F.col("weight") if turn == 0 else F.xxhash64("id", F.pmod("value", F.lit(4)), F.lit(turn))
+        pivots = members.groupBy("value").agg(F.max(F.struct(
+            rank.alias("rank"), F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("most").alias("p_most"),
             F.col("component").alias("p_component"))).alias("v")).select("value", "v.*")
         found = linked(members.join(pivots, "value")
-                       .where((F.col("component") != F.col("p_component")) & alike(F.col("n"), F.col("p_n")))
+                       .where((F.col("component") != F.col("p_component")) & alike(F.col("n"), F.col("p_n"), F.col("most"), F.col("p_most")))
                        .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
         links = found if links is None else links.unionAll(found)
-        label = stored(components(links), "labels")
-        members = index.join(label.withColumnRenamed("node", "id"), "id", "left") \
-            .withColumn("component", F.coalesce("component", "id"))
+        if turn < pivot_rounds - 1:     # the least neighbour will do: equal ones are connected
+            label = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+        else:
+            label = components(links).withColumnRenamed("node", "id")
+        label = stored(label, "labels")
+        members = index.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = stored(members, "members")
     mixed = members.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .where("x != y").select("value")
     left = members.join(mixed, "value", "left_semi")
-    right = left.select("value", F.col("id").alias("p"), F.col("n").alias("p_n"),
+    right = left.select("value", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("most").alias("p_most"),
                         F.col("component").alias("p_component"))
     found = linked(left.join(right, "value")
                    .where((F.col("component") != F.col("p_component")) & (F.col("id") < F.col("p"))
-                          & alike(F.col("n"), F.col("p_n")))
+                          & alike(F.col("n"), F.col("p_n"), F.col("most"), F.col("p_most")))
                    .select(F.col("id").alias("a"), F.col("p").alias("b")).distinct())
-    label = components(links.unionAll(found))
+    if not found.isEmpty():
+        label = components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(found)) \
+            .withColumnRenamed("node", "id")
 
-    named = classes.select("digest", "id").join(label.withColumnRenamed("node", "id"), "id", "left") \
+    named = classes.select("digest", "id").join(label, "id", "left") \
         .select("digest", F.coalesce("component", "id").alias("component"))
     return rows.select("id", "n", "digest").join(named, "digest", "left").select(
         "id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component"))
