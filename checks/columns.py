@@ -1,6 +1,7 @@
 """Column profile, missing values, numeric and categorical summaries."""
 
 from checks.registry import FIXTURES, on, query, union
+from plumbline.functions.columns import rounded
 from plumbline.operators import categorical, missing, numeric, profile
 from plumbline.operators.profile import Profile
 
@@ -271,15 +272,19 @@ SELECT '@n' AS "column", count(@c) AS count, round(avg(@c), 4) AS mean, round(st
 FROM {table} HAVING count(DISTINCT @c) <> 1"""
 
 
+def _summary(df):
+    return rounded(df, "mean", "std", "min", "max", "q1", "q3", "iqr", "skewness", "zero_frac", "missing_pct")
+
+
 @query("d1_numeric_summary", union(SUMMARY.format(table="lineitem"), LINEITEM))
 def d1(t):
-    return numeric.numeric_summary(t("lineitem"), LINEITEM)
+    return _summary(numeric.numeric_summary(t("lineitem"), LINEITEM))
 
 
 @query("d1_numeric_summary_gappy", on("li_gappy", body=union(SUMMARY.format(table="li_gappy"), GAPPY_NUMERIC)))
 def d1_gappy(t):
     p = Profile(t("li_gappy"))
-    return numeric.numeric_summary(p.df, p.numeric, p.n_rows)
+    return _summary(numeric.numeric_summary(p.df, p.numeric, p.n_rows))
 
 
 SHAPE = """
@@ -292,7 +297,7 @@ SELECT '@n' AS "column", skewness(@c) AS s, kurtosis(@c) AS k, count(DISTINCT @c
 SELECT "column", round(s, 3) AS skewness, round(k, 3) AS kurtosis FROM f WHERE nd >= 10"""))
 def d2(t):
     p = Profile(t("li_redundant"))
-    return numeric.skew_kurtosis(p.df, p.numeric)
+    return rounded(numeric.skew_kurtosis(p.df, p.numeric), "skewness", "kurtosis", digits=3)
 
 
 EVENTS_SHAPE = "f AS (" + union(SHAPE.format(table="events"), ["value"]) + ")"
@@ -311,11 +316,11 @@ def d3(t):
 
 CLASSIFY = """
 SELECT f."column", round(s, 3) AS skewness, round(k, 3) AS kurtosis, outlier_pct,
-  CASE WHEN abs(round(s, 3)) < 0.5 AND abs(round(k, 3)) < 1 THEN 'Gaussian-like' ELSE 'Heavy-tailed / Skewed' END
+  CASE WHEN abs(s) < 0.5 AND abs(k) < 1 THEN 'Gaussian-like' ELSE 'Heavy-tailed / Skewed' END
     AS distribution_type,
-  abs(round(k, 3)) > 3 AS heavy_tailed,
-  abs(round(k, 3)) > 3 AND round(s, 3) > 1 AS suggest_log_transform,
-  abs(round(k, 3)) > 3 AND abs(round(s, 3)) <= 1 AS suggest_robust_loss
+  abs(k) > 3 AS heavy_tailed,
+  abs(k) > 3 AND s > 1 AS suggest_log_transform,
+  abs(k) > 3 AND abs(s) <= 1 AS suggest_robust_loss
 FROM f JOIN o ON f."column" = o."column" WHERE nd >= 10"""
 
 
@@ -323,19 +328,19 @@ FROM f JOIN o ON f."column" = o."column" WHERE nd >= 10"""
        REDUNDANT) + "), o AS (" + union(OUTSIDE.format(table="li_redundant"), REDUNDANT) + ")", body=CLASSIFY))
 def d4(t):
     p = Profile(t("li_redundant"))
-    return numeric.outlier_report(p.df, p.numeric, p.n_rows)
+    return rounded(numeric.outlier_report(p.df, p.numeric, p.n_rows), "skewness", "kurtosis", digits=3)
 
 
 @query("d4_distribution_class_events", on(more=EVENTS_SHAPE + ", o AS (" + union(
     OUTSIDE.format(table="events"), ["value"]) + ")", body=CLASSIFY))
 def d4_events(t):
-    return numeric.outlier_report(t("events"), ["value"])
+    return rounded(numeric.outlier_report(t("events"), ["value"]), "skewness", "kurtosis", digits=3)
 
 
 @query("d4_outliers_are_signal", on("li_redundant", more="f AS (" + union(SHAPE.format(table="li_redundant"),
        REDUNDANT) + ")", body="""
-SELECT count(*) FILTER (abs(round(k, 3)) > 3) AS n_heavy, count(*) FILTER (NOT abs(round(k, 3)) > 3) AS n_safe,
-  count(*) FILTER (abs(round(k, 3)) > 3) > 0 AS outliers_are_signal FROM f WHERE nd >= 10"""))
+SELECT count(*) FILTER (abs(k) > 3) AS n_heavy, count(*) FILTER (NOT abs(k) > 3) AS n_safe,
+  count(*) FILTER (abs(k) > 3) > 0 AS outliers_are_signal FROM f WHERE nd >= 10"""))
 def d4_table(t):
     p = Profile(t("li_redundant"))
     return numeric.outliers_are_signal(p.df, p.numeric)

@@ -116,13 +116,11 @@ def i9(t):
 
 
 @query("i10_drift_summary", on(*SIDES, more=REPORT, body="""
-SELECT concat_ws('. ',
-  CASE WHEN count(*) FILTER (drift_score > 25) > 0 THEN
-    count(*) FILTER (drift_score > 25) || ' column(s) show significant distribution drift' END,
-  CASE WHEN sum(new_category_count) > 0 THEN sum(new_category_count)::BIGINT
-    || ' unseen category value(s) detected in test across ' || count(*) FILTER (new_category_count > 0) || ' column(s)' END,
-  CASE WHEN count(*) FILTER (abs(delta) > 0.1) > 0 THEN
-    count(*) FILTER (abs(delta) > 0.1) || ' column(s) have >10% change in missing rate' END) || '.' AS summary
+SELECT count(*) FILTER (drift_score > 25) AS drifted, coalesce(sum(new_category_count), 0)::BIGINT AS new_values,
+  count(*) FILTER (new_category_count > 0) AS columns_with_new, count(*) FILTER (abs(delta) > 0.01) AS nulls_moved,
+  count(*) FILTER (abs(delta) > 0.1) AS nulls_moved_far,
+  count(*) FILTER (drift_score > 25) = 0 AND coalesce(sum(new_category_count), 0) = 0
+    AND count(*) FILTER (abs(delta) > 0.01) = 0 AS quiet
 FROM rep"""))
 def i10(t):
     return drift.drift_summary(drift.drift_report(t(SIDES[0]), t(SIDES[1])))

@@ -16,13 +16,18 @@ STOPS = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) +
 
 
 @query("a1_scan_csv", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+  o_orderdate, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority || chr(10) || 'a "b", c' END AS o_orderpriority
+FROM orders""")
 def a1(t):
+    """Absent values as tokens, line breaks and quotes inside quotes, types found by the reader."""
     path = scratch_path(t.spark, "orders-csv")
-    t("orders").drop("o_orderdate").write.option("header", True).csv(path)
-    return tables.read_csv(t.spark, path).select(
-        F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), "o_orderstatus",
-        F.col("o_totalprice").cast("double"), "o_orderpriority")
+    absent = F.when(F.col("o_orderkey") % 7 == 0, "NA").otherwise(F.col("o_totalprice").cast("string"))
+    noted = F.when(F.col("o_orderkey") % 5 == 0, "N/A").otherwise(F.concat("o_orderpriority", F.lit('\na "b", c')))
+    t("orders").withColumns({"o_totalprice": absent, "o_orderpriority": noted}) \
+        .write.options(header=True, escape='"').csv(path)
+    return tables.read_csv(t.spark, path).withColumns({
+        c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
 
 
 @query("a2_scan_parquet", """

@@ -90,12 +90,18 @@ def encoder_for(profile: Profile, by_view: bool = False) -> FeatureEncoder:
 def feature_table(profile: Profile, *more: Column) -> DataFrame:
     """Feature columns and a row id, written once.
 
-    Training reads the table many times and its row ids must not change between
-    two readings, so the lineage is cut here.
+    Training reads the table many times, so the lineage is cut here.
     """
     cols = [quoted(c) for c in profile.features]
-    return cut_lineage(profile.df.select(*cols, *more)
-                       .withColumn(ROW, F.monotonically_increasing_id()))
+    return cut_lineage(profile.df.select(*cols, *more, row_hash(profile.df).alias(ROW)))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A row id that follows from the row alone, so that no partitioning changes what is drawn by it.
+
+    Equal rows share an id: they fall into one fold and get one score.
+    """
+    return F.xxhash64(*[quoted(c) for c, kind in kinds(df).items() if kind != "unsupported"])
 
 
 def encode_target(df: DataFrame, target: str) -> DataFrame:

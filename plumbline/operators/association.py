@@ -234,9 +234,8 @@ def class_balance(target: Target) -> DataFrame:
                          F.lit(ends["hi"] / ends["t"] > 0.7).alias("is_imbalanced"))
 
 
-def feature_separation(target: Target, columns: list[str], first: int = 5) -> DataFrame:
-    """``class, column, mean, std`` of the first numeric features."""
-    columns = columns[:first]
+def feature_separation(target: Target, columns: list[str]) -> DataFrame:
+    """``class, column, mean, std`` of numeric features."""
     aggs = [a for i, c in enumerate(columns) for a in (
         F.avg(as_double(c)).alias(f"m{i}"), F.stddev_samp(as_double(c)).alias(f"s{i}"))]
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.round(f"m{i}", 3).alias("mean"),
@@ -257,9 +256,8 @@ def target_stats(target: Target) -> DataFrame:
 # ---- bucketed target ----
 
 def quintile_edges(df: DataFrame, columns: list[str], n_rows: int | None = None,
-                   buckets: int = 5, first: int = 6) -> dict[str, list[float]]:
-    """Distinct quantile edges of the first numeric features with enough distinct values."""
-    columns = columns[:first]
+                   buckets: int = 5) -> dict[str, list[float]]:
+    """Distinct quantile edges of the numeric features with enough distinct values."""
     enough = {r["column"] for r in distinct_counts(df, columns).collect() if r["n_distinct"] >= 5}
     probs = [i / buckets for i in range(buckets + 1)]
     found = exact_quantiles(df, {c: as_double(c) for c in columns if c in enough}, probs, n_rows)
@@ -295,12 +293,11 @@ def bivariate_classification(target: Target, edges: dict[str, list[float]]) -> D
     counts = (_bucketed(target.df, edges, label).filter("class is not null")
               .groupBy(*keys, "class").agg(F.count("*").alias("n")))
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
-    classes = counts.groupBy().agg(F.collect_set("class").alias("classes")) \
-        if target.n_classes <= 1000 else None
-    shares = counts.join(F.broadcast(sizes), keys)
-    if classes is None:
-        return shares.select(*keys, "class", F.round(F.col("n") / F.col("size"), 3).alias("share"))
-    grid = sizes.select(*keys, "size", F.explode(classes.scalar()).alias("class"))
+    # every class beside every bucket; the buckets are a few literals per column
+    every = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("bucket"))
+                      for c, e in edges.items() for i in range(max(1, len(e) - 1))])
+    grid = (counts.select("class").distinct().select("class", F.inline(every))
+            .join(F.broadcast(sizes), ["column", "bucket"]).select(*keys, "size", "class"))
     return (grid.join(counts, [*keys, "class"], "left")
             .select(*keys, "class",
                     F.round(F.coalesce("n", F.lit(0)) / F.col("size"), 3).alias("share")))

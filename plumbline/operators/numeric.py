@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import STANDARD, Thresholds
-from plumbline.functions.columns import aggregate_long, as_double, as_text, quoted, rounded, unfold, union_all
+from plumbline.functions.columns import aggregate_long, as_double, as_text, quoted, unfold, union_all
 from plumbline.functions.frequency import distinct_counts
 from plumbline.functions.gram import pearson_pairs
 from plumbline.functions.quantiles import exact_quantiles
@@ -31,8 +31,7 @@ def numeric_summary(df: DataFrame, columns: list[str], n_rows: int | None = None
                    corrected_skewness(F.col("skew_pop"), F.col("n")).alias("skewness"),
                    F.try_divide("n_zero", "n_rows").alias("zero_frac"),
                    (100 - F.try_divide(F.col("n") * 100, "n_rows")).alias("missing_pct")))
-    return rounded(out, "mean", "std", "min", "max", "q1", "q3", "iqr", "skewness", "zero_frac",
-                   "missing_pct")
+    return out
 
 
 def skew_ranking(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,8 +46,8 @@ def skew_kurtosis(df: DataFrame, columns: list[str], min_distinct: int = 10) ->
     many = distinct_counts(df, columns).filter(F.col("n_distinct") >= min_distinct)
     return (moments(df, columns).join(F.broadcast(many), "column")
             .select("column",
-                    F.round(corrected_skewness(F.col("skew_pop"), F.col("n")), 3).alias("skewness"),
-                    F.round(corrected_kurtosis(F.col("kurt_pop"), F.col("n")), 3).alias("kurtosis")))
+                    corrected_skewness(F.col("skew_pop"), F.col("n")).alias("skewness"),
+                    corrected_kurtosis(F.col("kurt_pop"), F.col("n")).alias("kurtosis")))
 
 
 def iqr_outliers(df: DataFrame, columns: list[str], n_rows: int | None = None) -> DataFrame:

@@ -1,13 +1,16 @@
 """Text cleaning and tf-idf features in long form."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_double, quoted
+from plumbline.functions.ordered import running_sums
 from plumbline.functions.session import cut_lineage
 from plumbline.functions.words import LINK, MAIL, SPACE, SPECIAL, STOP_WORDS, TAG, stripped
 
-MAX_TERMS, MIN_DOCS = 5000, 2
+MIN_DOCS = 2
+MATRIX_TERMS = 5000          # text columns of an assembled matrix
+MOST_BROADCAST_TERMS = 20_000
 
 
 def clean_text(c: Column) -> Column:
@@ -41,25 +44,28 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
             .groupBy(quoted(key), "term").agg(F.count("*").alias("tf")))
 
 
-def vocabulary(counts: DataFrame, max_terms: int = MAX_TERMS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``term, index, df``: most frequent terms found in enough texts, numbered alphabetically.
+def vocabulary(counts: DataFrame, max_terms: int | None = None, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``term, index, df``: terms found in enough texts, numbered alphabetically.
 
-    A distributed top-k keeps at most ``max_terms`` rows.
+    With ``max_terms`` a distributed top-k keeps the most frequent ones.
     """
-    top = (counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-           .filter(F.col("df") >= min_docs).orderBy(F.desc("total"), "term").limit(max_terms))
-    # at most max_terms rows
-    return top.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("index"), "df")
+    top = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_docs)
+    if max_terms is not None:
+        top = top.orderBy(F.desc("total"), "term").limit(max_terms)
+    return running_sums(top, [], ["term"], {"index": F.lit(1).cast("bigint")}).select(
+        "term", F.col("index").cast("int").alias("index"), "df")
 
 
-def tfidf_features(df: DataFrame, key: str, text: str, max_terms: int = MAX_TERMS,
+def tfidf_features(df: DataFrame, key: str, text: str, max_terms: int | None = None,
                    min_docs: int = MIN_DOCS) -> DataFrame:
     """``key, term, index, weight``: sublinear tf times smoothed idf, unit length per text."""
     # cleaning is the dear part: its result is written once and read three times
     counts = cut_lineage(term_counts(df, key, text))
     n = df.agg(F.count("*")).scalar()
-    # the vocabulary has at most max_terms rows
-    weighted = counts.join(F.broadcast(vocabulary(counts, max_terms, min_docs)), "term").withColumn(
+    words = vocabulary(counts, max_terms, min_docs)
+    # broadcast only where max_terms bounds it
+    words = words if max_terms is None or max_terms > MOST_BROADCAST_TERMS else F.broadcast(words)
+    weighted = counts.join(words, "term").withColumn(
         "w", (1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
     norms = weighted.groupBy(quoted(key)).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, key).select(quoted(key), "term", "index",
@@ -67,7 +73,7 @@ def tfidf_features(df: DataFrame, key: str, text: str, max_terms: int = MAX_TERM
 
 
 def assemble_features(df: DataFrame, key: str, text: str, numbers: list[str],
-                      max_terms: int = MAX_TERMS) -> DataFrame:
+                      max_terms: int = MATRIX_TERMS) -> DataFrame:
     """``key, index, value``: the sparse matrix of text weights and numbers (null is 0) side by side.
 
     Numbers follow the text terms; zeros are not stored.

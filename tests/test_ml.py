@@ -109,11 +109,33 @@ def test_boosted_trees_learn_a_rule(spark):
     assert out["curves"].groupBy("fold").count().count() == 3
 
 
-def test_many_classes_share_a_forest(spark):
-    df = ft.with_vector(spark.range(900).select((F.col("id") % 30).cast("double").alias(sv.LABEL),
-                                                (F.col("id") % 30 + 0.0).alias("x"), (F.col("id") % 7 == 0).alias("_val")), ["x"])
-    fit = sv.boosted_fit(df, "classification", 30, rounds=5)
-    assert fit["score"] > 0.5 and len(fit["val"]) == 1
+def test_many_classes_are_learned_like_few(spark):
+    df = ft.with_vector(spark.range(900).select((F.col("id") % 24).cast("double").alias(sv.LABEL),
+                                                (F.col("id") % 24 + 0.0).alias("x"), (F.col("id") % 7 == 0).alias("_val")), ["x"])
+    fit = sv.boosted_fit(df, "classification", 24, rounds=3)
+    assert fit["score"] > 0.9 and len(fit["val"]) == 3
+
+
+def test_score_is_that_of_the_truncated_model(spark):
+    df = spark.range(400).select(F.rand(1).alias("x"), (F.rand(2) > 0.5).cast("double").alias(sv.LABEL), (F.col("id") % 4 == 0).alias("_val"))
+    data = ft.with_vector(df, ["x"])
+    fit = sv.boosted_fit(data, "classification", 2, rounds=200)     # noise: the first rounds are the best
+    assert fit["rounds"] < 200 and len(fit["val"]) == fit["best"] + 1 + sv.PATIENCE
+    train = data.filter("not _val").withColumn("_one", F.col(sv.LABEL))
+    model = sv.GBTClassifier(featuresCol="features", labelCol="_one", maxIter=fit["best"] + 1, stepSize=0.1, maxDepth=5,
+                             maxBins=64, seed=42).fit(train)
+    assert fit["score"] == pytest.approx(sv.balanced_accuracy(model.transform(data.filter("_val"))).first()[0])
+
+
+def test_anomalies_do_not_depend_on_partitions(spark):
+    df = spark.range(3000).select((F.col("id") * 7).alias("key"), F.rand(3).alias("a"), (F.rand(4) * F.rand(5)).alias("b")).cache()
+    rows = []
+    for n in (1, 5):
+        scaled, columns = us.unlabeled_features(Profile(df.repartition(n), numeric_measures=True), "key")
+        trees = us.isolation_trees(scaled, columns, trees=5)
+        assert trees.groupby("tree").size().size == 5
+        rows.append(sorted((r["key"], round(r["score"], 9)) for r in us.isolation_scores(scaled, columns, ["key"], trees=5).collect()))
+    assert rows[0] == rows[1] and len(rows[0]) == 3000
 
 
 def test_critical_table_stops_early(spark):
