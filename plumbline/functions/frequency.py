@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import aggregate_long, as_double, as_text, kinds, quoted, unfold
 
@@ -13,17 +14,22 @@ def digest(*cols: Column) -> Column:
                     F.xxhash64(F.lit(2), nulls, *cols).alias("h2"))
 
 
+def _is_wide(kind: T.DataType) -> bool:
+    """Whether a value can take more than 8 bytes."""
+    return isinstance(kind, T.DecimalType) and kind.precision > 18 or isinstance(kind, (T.BinaryType, T.StringType))
+
+
 def _keys(df: DataFrame, names: list[str]) -> DataFrame:
     """``i, h1, h2``: the column's index and the value's key, one row per cell.
 
     The 64-bit hash of one 8-byte value is a bijection, so numbers and times
-    keep an exact key; text of any length shrinks to 128 bits before the shuffle.
+    keep an exact key; text and wider values shrink to 128 bits before the shuffle.
     """
     kind = kinds(df)
     rows = []
     for i, name in enumerate(names):
         c = quoted(name)
-        if kind[name] == "string":
+        if kind[name] == "string" or _is_wide(df.schema[name].dataType):
             h1, h2 = F.xxhash64(F.lit(1), c), F.xxhash64(F.lit(2), c)
         else:
             h1, h2 = F.xxhash64(c), F.lit(0).cast("bigint")

@@ -9,6 +9,7 @@ from plumbline.functions.columns import (aggregate_long, as_double, as_text, kin
 from plumbline.functions.frequency import distinct_counts
 from plumbline.functions.gram import pair_sums, pearson_pairs
 from plumbline.functions.ordered import running_sums
+from plumbline.functions.session import cut_lineage
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.operators.profile import (Profile, corrected_kurtosis, corrected_skewness, moments)
 
@@ -145,9 +146,10 @@ def target_spearman(target: Target, columns: list[str]) -> DataFrame:
     so no column is ever sorted in one task.
     """
     rows = [[F.lit(c), as_double(c), F.col("_y")] for c in columns]
-    pairs = (unfold(target.with_numeric(), rows, ["column", "x", "y"])
-             .filter("x is not null and y is not null")
-             .groupBy("column", "x", "y").agg(F.count("*").alias("n")))
+    # read for the ranks of x, of y, the mean rank and the join
+    pairs = cut_lineage(unfold(target.with_numeric(), rows, ["column", "x", "y"])
+                        .filter("x is not null and y is not null")
+                        .groupBy("column", "x", "y").agg(F.count("*").alias("n")))
     ranked = pairs
     for v in ("x", "y"):
         counts = pairs.groupBy("column", v).agg(F.sum("n").alias("c"))

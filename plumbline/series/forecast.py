@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import unfold
 from plumbline.functions.ordered import CHUNK_ROWS, chunk_window, overlapped
+from plumbline.functions.session import cut_lineage
 from plumbline.series.prepare import KEY, SeriesSet
 from plumbline.series.stats import (_least_squares, chunk_arrays, kpss_pvalue, kpss_statistic,
                                     lag_sums, levinson)
@@ -118,9 +119,10 @@ def holt_fit(s: SeriesSet) -> DataFrame:
     """
     train = temporal_split(s).filter("part = 'train'")
     mean = train.groupBy(KEY).agg(F.avg("y").alias("mean"))
-    chunks = (chunk_arrays(train.join(mean, KEY).withColumn("y", F.col("y") - F.col("mean"))
-                           .withColumn("n", F.col("split")), [KEY])
-              .select(KEY, "start", "ys").persist())
+    # read by every round
+    chunks = cut_lineage(chunk_arrays(train.join(mean, KEY).withColumn("y", F.col("y") - F.col("mean"))
+                                      .withColumn("n", F.col("split")), [KEY])
+                         .select(KEY, "start", "ys"))
     best = mean.select(KEY, F.lit(0.5).alias("alpha"), F.lit(0.5).alias("beta"))
     reach = 0.5
     longest = s.spec.agg(F.max("n")).first()[0] or 0
