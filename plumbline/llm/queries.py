@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 
 
 def op1_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.near_vectors(read(spark, folder, "embeddings"))
+    return vectors.near_vectors(read(spark, folder, "embeddings")).drop("recall")
 
 
 def op2_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,3 +87,15 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM m
 """
+
+# Every pair of one label by brute force; the tables hold whole vectors of one length.
+ORACLES["op1_vector_graph"] = r"""
+WITH RECURSIVE
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(max(n.n), 0) AS n_links, min(r.c) AS component_id, v.vec_id = min(r.c) AS kept
+FROM v JOIN r ON r.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id
+"""

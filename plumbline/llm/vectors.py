@@ -25,6 +25,7 @@ FANOUT = 64             # most clusters of one split
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 32
 KEPT_BACK = 6           # edges back to a vector that pruning never removes
 AUDIT = 256             # vectors held against all others
+LEAST_RECALL = 0.9
 
 NODE = "path string, id long, unit array<double>"
 
@@ -270,7 +271,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, audited: bool = Tru
     empty or zero, or holds null or non-finite components, or has no label or id,
     links with nothing and is its own component.  Rows that repeat an id are
     vectors of their own with that id.  ``recall`` is that of the audit, null
-    when the audit met no link.
+    when the audit met no link; one under ``LEAST_RECALL`` is an error.
     """
     x = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("x"),
@@ -289,6 +290,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, audited: bool = Tru
     if audited:
         true, hit = audit(nodes, found, cosine)
         recall = hit / true if true else None
+        if recall is not None and recall < LEAST_RECALL:
+            raise RuntimeError(f"the graph finds {hit} of {true} audited links; raise DEGREE or BEAM")
     copies = classes.select("id", "copies", "first")
     either = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = either.join(copies.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(
