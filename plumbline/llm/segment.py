@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
@@ -321,7 +322,7 @@ def decode_samples(samples: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             texts = [vocabulary.decode(np.frombuffer(ids, "<i4")) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*samples.columns, "text"])
-    return samples.mapInArrow(run, samples.schema.add("text", "string"))
+    return samples.mapInArrow(run, T.StructType([*samples.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def sample_table(docs: DataFrame) -> DataFrame:
