@@ -19,6 +19,7 @@ SKETCH = 64                 # hashes kept of a document
 # happens to about one pair in 300,000 (binomial, 64 draws), above it to fewer.
 FLOOR = 0.55
 PIVOT_ROUNDS = 2
+PARITY_WORDS = 8            # 64-bit words of the parity map of a set
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,6 +71,16 @@ def _sketches(width: int, size: int):
     return run
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes, whether the set holds an odd number of them, as 64-bit words.
+
+    Two sets differ in at least as many members as their maps differ in bits.
+    """
+    place = (shingles.view(np.uint64) * _MULTIPLY) >> np.uint64(64 - 9)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _full_sets(width: int):
     def run(batches):
         hashes = _WordHashes()
@@ -81,8 +92,9 @@ def _full_sets(width: int):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, 500),
                     pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, np.concatenate([*sets, np.empty(0, np.int64)]))],
-                    ["id", "digest", "shingles"])
+                    pa.ListArray.from_arrays(offsets, np.concatenate([*sets, np.empty(0, np.int64)])),
+                    pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
+                    ["id", "digest", "shingles", "parity"])
     return run
 
 
@@ -94,11 +106,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when ``100 * |A & B| >= percent * |A | B|``.  Documents with
     one set are one class from the start.  Of a sketch only the rarest values are
     listed, as many as a linked partner must share one of (prefix filter), so
-    values common to many unlike documents make no lists.  What a listed document
-    can share at most is counted on full sets.  Members of a list are first held
-    against a few pivots, the most central one before all, which joins a large
-    group of copies without looking at its pairs; then only pairs are formed that
-    are still in different components and whose sizes allow a link.  Rows without an id, and empty sets,
+    values common to many unlike documents make no lists.  Members of a list are
+    first held against a few pivots, the most central one before all, which joins
+    a large group of copies without looking at its pairs.  Then only pairs are
+    formed that are still in different components and whose sizes and parity maps
+    allow a link; a map's bound is exact, so none is lost.  Rows without an id, and empty sets,
     link with nothing and are their own component.  Rows that repeat an id give
     a row each.
     """
@@ -123,15 +135,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed = index.select("id").distinct()
     sets = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
                   .join(listed, "id", "left_semi")
-                  .mapInArrow(_full_sets(width), "id long, digest binary, shingles array<long>")
+                  .mapInArrow(_full_sets(width), "id long, digest binary, shingles array<long>, parity array<long>")
                   .join(classes.select("id", "digest"), ["id", "digest"], "left_semi")
                   .dropDuplicates(["id"]), "sets")
 
-    # a partner can share only what some other listed document holds too
-    lone = sets.select("id", F.explode("shingles").alias("value")).groupBy("value").agg(
-        F.count("*").alias("docs"), F.min("id").alias("id")).where("docs = 1").groupBy("id").agg(F.count("*").alias("lone"))
-    index = stored(index.join(lone, "id", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone"), "members")
-
     def linked(pairs: DataFrame) -> DataFrame:
         for at in ("a", "b"):
             pairs = pairs.join(classes.select(F.col("id").alias(at), F.col("n").alias("n_" + at),
@@ -147,10 +154,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
                       .select("a", "b"), "links")
 
-    def alike(x, y, most_x, most_y):
-        """Whether two sizes, and what each document can share at most, allow a link."""
-        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) \
-            & ((100 + percent) * F.least(most_x, most_y) >= percent * (x + y))
+    def alike(x, y):
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     links = None
     members = index.withColumn("component", F.col("id"))
@@ -158,10 +163,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # first the member that holds most of what the others hold, then some by hash
         rank = F.col("weight") if turn == 0 else F.xxhash64("id", F.pmod("value", F.lit(4)), F.lit(turn))
         pivots = members.groupBy("value").agg(F.max(F.struct(
-            rank.alias("rank"), F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("most").alias("p_most"),
+            rank.alias("rank"), F.col("id").alias("p"), F.col("n").alias("p_n"),
             F.col("component").alias("p_component"))).alias("v")).select("value", "v.*")
         found = linked(members.join(pivots, "value")
-                       .where((F.col("component") != F.col("p_component")) & alike(F.col("n"), F.col("p_n"), F.col("most"), F.col("p_most")))
+                       .where((F.col("component") != F.col("p_component")) & alike(F.col("n"), F.col("p_n")))
                        .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
         links = found if links is None else links.unionAll(found)
         if turn < pivot_rounds - 1:     # the least neighbour will do: equal ones are connected
@@ -173,12 +178,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(members, "members")
     mixed = members.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .where("x != y").select("value")
-    left = members.join(mixed, "value", "left_semi")
-    right = left.select("value", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("most").alias("p_most"),
-                        F.col("component").alias("p_component"))
+    words = range(PARITY_WORDS)
+    left = members.join(mixed, "value", "left_semi").join(
+        sets.select("id", *[F.col("parity")[k].alias(f"x{k}") for k in words]), "id")
+    right = left.select("value", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("component").alias("p_component"),
+                        *[F.col(f"x{k}").alias(f"y{k}") for k in words])
+    # linked sets differ in no more than this share of their members
+    differ = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in words), F.lit(0))
     found = linked(left.join(right, "value")
                    .where((F.col("component") != F.col("p_component")) & (F.col("id") < F.col("p"))
-                          & alike(F.col("n"), F.col("p_n"), F.col("most"), F.col("p_most")))
+                          & alike(F.col("n"), F.col("p_n"))
+                          & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("p_n"))))
                    .select(F.col("id").alias("a"), F.col("p").alias("b")).distinct())
     if not found.isEmpty():
         label = components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(found)) \
