@@ -99,7 +99,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             value = _digits(m[0])
             if 9 <= len(value) <= 15:
                 found.append((m.start(), m.end(), "phone", value[-10:] if len(value) == 11 and value[0] == "1" else value))
-    names: dict[str, str] = {}
+    names: dict[str, tuple[str, str]] = {}      # what a mention can look like: kind and canonical name
     patterns = [_NAME] if not _TITLE_WORDS.isdisjoint(text.split()) else []
     if any(cue in text for cue in _CUES):
         patterns.append(_CUE)
@@ -115,11 +115,15 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             for i, w in enumerate(words):
                 given = len(words) > 1 and i < len(words) - 1
-                names.setdefault(w, f"{'given' if given else 'family'}_{_script(w)}{gender if given else ''}")
+                kind = f"{'given' if given else 'family'}_{_script(w)}{gender if given else ''}"
+                value = w[0] + w[1:].lower() if w.isupper() else w
+                names.setdefault(w, (kind, value))
+                if len(w) > 2:
+                    names.setdefault(w.upper(), names[w])
     if names:
         any_name = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)")
         for m in any_name.finditer(text):
-            found.append((m.start(), m.end(), names[m[0]], m[0]))
+            found.append((m.start(), m.end(), *names[m[0]]))
     out, last = [], 0
     for start, end, kind, value in sorted(found, key=lambda x: (x[0], -x[1])):
         if start >= last:

@@ -314,14 +314,14 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, id_col: str = "doc_id", te
 
 def decode_samples(samples: DataFrame, model: str | None = None) -> DataFrame:
     """``samples`` with the column ``text`` that their ids spell."""
-    path = _path(model)
-    at = samples.columns.index("ids")
+    path, names = _path(model), [*samples.columns, "text"]
+    at = names.index("ids")
 
     def run(batches):
         vocabulary = pieces(path)
         for batch in batches:
             texts = [vocabulary.decode(np.frombuffer(ids, "<i4")) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*samples.columns, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
     return samples.mapInArrow(run, T.StructType([*samples.schema.fields, T.StructField("text", T.StringType())]))
 
 

@@ -45,7 +45,7 @@ def test_surrogate_texts(spark):
     assert m and m[2] == m[4] == m[10] and m[9] == m[2].upper() and m[5] == m[7] and m[6] == m[8]
     assert m[12].lower() == m[13]
     assert re.search(r"192\.168\.\d+\.\d+", new)
-    cards = re.findall(r"\b\d{4} \d{4} \d{4} \d{4}\b|\b\d{16}\b", new)
+    cards = re.findall(r"\b\d{4} \d{4} \d{4} \d{4}\b|\b\d{16}\b", new.partition("card ")[2])
     assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1] and private.luhn(cards[1])
     assert private.surrogate_texts(df.limit(0)).count() == 0
 
