@@ -10,6 +10,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from checks.registry import BASE, ORACLES, QUERIES
+from plumbline.functions.ship import ship
 
 
 def session(cores: str = "8") -> SparkSession:
@@ -20,6 +21,7 @@ def session(cores: str = "8") -> SparkSession:
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
