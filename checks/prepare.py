@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from checks.patterns import LINK, MAIL, SPACE, SPECIAL, TAG
 from checks.registry import on, query
 from plumbline.functions.columns import rounded
 from plumbline.functions.session import scratch_path
-from plumbline.functions.words import LINK, MAIL, SPACE, SPECIAL, STOP_WORDS, TAG
+from plumbline.functions.words import STOP_WORDS
 from plumbline.operators.profile import Profile
 from plumbline.plans import preprocess as pp
 from plumbline.plans import text_features as tf

@@ -1,7 +1,8 @@
 """Text operators."""
 
+from checks.patterns import DIGIT, LINK, SPACE, SPECIAL, TAG
 from checks.registry import on, query, union
-from plumbline.functions.words import DIGIT, LINK, SPACE, SPECIAL, STOP_WORDS, TAG
+from plumbline.functions.words import STOP_WORDS
 from plumbline.operators import text
 
 STOPS = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + ")"
