@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
 
-ORDER = 2                    # longest n-gram
+ORDER = 3                    # longest n-gram
 BLOCK_BYTES = 12_000_000     # text of a block, but for one longer document
 RANGE_KEYS = 2_000_000       # n-grams summed by one task, about
 PRIOR = 1000.0               # weight of the shorter context, in observations
@@ -297,14 +297,19 @@ def _listed(order: int, n_ranges: int):
 
 
 def _summed(lists: pd.DataFrame) -> pd.DataFrame:
-    """Totals of one range of one level, handed back to each block in the block's order."""
+    """What the other blocks count in one range of one level, handed back to each block in the block's order.
+
+    A block adds its own counts.  Most long n-grams occur in one block, and their
+    zeros take no room.
+    """
     lists = lists.sort_values("block")
     keys = [_expand_sorted(k) for k in lists["keys"]]
+    own = np.concatenate([_expand(c) for c in lists["counts"]]).astype(np.int64)
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate([_expand(c) for c in lists["counts"]])).astype(np.int64)
-    backs = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+    total = np.bincount(place, own).astype(np.int64)
+    backs = np.split(total[place] - own, np.cumsum([len(k) for k in keys])[:-1])
     return pd.DataFrame({
-        "level": lists["level"], "range": lists["range"], "block": lists["block"], "totals": [_squeeze(b) for b in backs],
+        "level": lists["level"], "range": lists["range"], "block": lists["block"], "others": [_squeeze(b) for b in backs],
         "n": [int(total.sum())] + [0] * (len(lists) - 1), "distinct": [int((total > 0).sum())] + [0] * (len(lists) - 1)})
 
 
@@ -379,10 +384,10 @@ def _scored(order: int, n_ranges: int, n: int, distinct: int, prior: float):
         block = Block(block_rows.iloc[0], order)
         totals = []
         for level in range(order):
-            level_sums = sums[sums["level"] == level].set_index("range")["totals"]
-            total = np.empty(len(block.keys[level]), np.int64)
+            level_sums = sums[sums["level"] == level].set_index("range")["others"]
+            total = block.counts(level)
             for part, at in _parts(block.keys[level], n_ranges):
-                total[at] = _expand(level_sums[part])
+                total[at] += _expand(level_sums[part]).astype(np.int64)
             totals.append(total)
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
             return score_block(block, totals, n, distinct, prior, folder)
@@ -409,7 +414,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, block
     n_ranges = max(1, -(-tokens // RANGE_KEYS))
     lists = blocks.mapInArrow(_listed(order, n_ranges), "level long, range long, block long, keys binary, counts binary")
     sums = stored(lists.groupBy("level", "range").applyInPandas(
-        _summed, "level long, range long, block long, totals binary, n long, distinct long"), "totals")
+        _summed, "level long, range long, block long, others binary, n long, distinct long"), "totals")
     n, distinct = sums.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     return blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(
         _scored(order, n_ranges, n, distinct, prior),

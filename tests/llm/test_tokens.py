@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,20 @@ def test_score_beats_unigrams_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     base, score = ngrams.score_texts(docs).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert score > base
+
+
+def test_scores_use_contexts_of_two_words(spark):
+    rows = [(i, ("p b c " if i % 2 else "q b d ") * 2000) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {order: {r.doc_id: r.score for r in ngrams.score_texts(df, **order_arg).collect()}
+             for order, order_arg in ((0, {}), (2, {"order": 2}), (3, {"order": 3}))}
+    assert score[0] == score[3]
+    assert all(score[0][i] > score[2][i] + 100 for i, _ in rows)     # the word after b follows from the one before it
+
+
+def test_blocks_get_back_what_others_count():
+    lists = pd.DataFrame({"level": 2, "range": 0, "block": [1, 2], "keys": [ngrams._squeeze_sorted(np.array(k, np.uint64)) for k in (
+        [5, 9, 2 ** 63], [9, 11])], "counts": [ngrams._squeeze(np.array(c)) for c in ([4, 2, 7], [3, 0])]})
+    out = ngrams._summed(lists)
+    assert [ngrams._expand(o).tolist() for o in out["others"]] == [[0, 3, 0], [2, 0]]
+    assert out["n"].sum() == 16 and out["distinct"].sum() == 3
