@@ -23,6 +23,7 @@ SHARD_ROWS = 3000       # most vectors of a shard
 SAMPLE = 2048           # vectors that fit the centres of one split, chosen by hash
 FANOUT = 64             # most clusters of one split
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 32
+FAR, FAR_POOL = 8, 32   # edges of DEGREE kept for rows outside the pool; candidates for them, at ranks of equal ratio
 KEPT_BACK = 6           # edges back to a vector that pruning never removes
 AUDIT = 256             # vectors held against all others
 LEAST_RECALL = 0.9
@@ -54,15 +55,29 @@ def prune(ids: np.ndarray, near: np.ndarray, unit: np.ndarray, degree: int, alph
 
 
 def build(unit: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> list[list[int]]:
-    """Pruned neighbours of every row, with edges back, pruned again where there are too many."""
+    """Pruned neighbours of every row, with edges back, pruned again where there are too many.
+
+    Rows outside the pool are candidates too, at ranks that grow by a ratio up to
+    the last row, with edges of their own: a group of more near copies than the
+    pool holds keeps edges out of the group.
+    """
     n = len(unit)
     out: list[list[int]] = []
+    beyond: list[list[int]] = []
+    far = min(FAR, degree // 2) if n - 1 > pool else 0
     for start in range(0, n, 512):
         near = unit[start:start + 512] @ unit.T
         near[np.arange(len(near)), np.arange(start, start + len(near))] = -2
         size = min(pool, n - 1)
         best = np.argpartition(-near, size - 1, axis=1)[:, :size] if size else np.empty((len(near), 0), int)
-        out += [prune(b, row[b], unit, degree, alpha) for b, row in zip(best, near, strict=True)]
+        out += [prune(b, row[b], unit, degree - far, alpha) for b, row in zip(best, near, strict=True)]
+        if far:
+            ranks = np.unique(np.geomspace(pool, n - 2, FAR_POOL).astype(int))
+            for row, order in zip(near, np.argsort(-near, axis=1, kind="stable"), strict=True):
+                wide = order[ranks]
+                beyond.append(prune(wide, row[wide], unit, far, alpha))
+        else:
+            beyond += [[] for _ in near]
     back: list[set[int]] = [set(x) for x in out]
     for i, xs in enumerate(out):
         for x in xs:
@@ -70,7 +85,8 @@ def build(unit: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float
     result = []
     for i, xs in enumerate(back):
         ids = np.array(sorted(xs), int)
-        result.append(prune(ids, unit[ids] @ unit[i], unit, degree, alpha) if len(ids) > degree else list(map(int, ids)))
+        kept = prune(ids, unit[ids] @ unit[i], unit, degree - far, alpha) if len(ids) > degree - far else list(map(int, ids))
+        result.append(kept + [x for x in beyond[i] if x not in kept])
     for i, xs in enumerate(out):    # every vector stays reachable from those nearest to it
         for x in xs[:KEPT_BACK]:
             if i not in result[x]:
@@ -90,6 +106,7 @@ def search(q: np.ndarray, unit: np.ndarray, edges: np.ndarray, entries: list[int
     ids = np.unique(entries)
     seen[ids] = True
     near = unit[ids] @ q
+    found = [ids[near >= cosine]]
     done = np.zeros(len(unit), bool)
     while True:
         open_ = ids[~done[ids]]
@@ -101,11 +118,12 @@ def search(q: np.ndarray, unit: np.ndarray, edges: np.ndarray, entries: list[int
         new = new[new >= 0]
         new = new[~seen[new]]
         seen[new] = True
+        to_new = unit[new] @ q
+        found.append(new[to_new >= cosine])      # also those that the beam has no place for
         ids = np.concatenate([ids, new])
-        near = np.concatenate([near, unit[new] @ q])
+        near = np.concatenate([near, to_new])
         top = np.argsort(-near, kind="stable")[:beam]
         ids, near = ids[top], near[top]
-    found = [ids[near >= cosine]]
     frontier = ids[near >= slack]
     reached = np.zeros(len(unit), bool)
     reached[ids] = True
@@ -235,8 +253,12 @@ def links(nodes: DataFrame, cosine: float = COSINE, most: int = SHARD_ROWS) -> D
     return all_links
 
 
-def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, size: int = AUDIT) -> tuple[int, int]:
-    """Links of ``size`` vectors, chosen by hash, that a comparison with every vector finds; and how many were found."""
+def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, size: int = AUDIT) -> float | None:
+    """Share of a vector's links that were found, on average over ``size`` vectors chosen by hash that have links.
+
+    The links are those that a comparison with every vector finds.  Each vector
+    counts the same, so a large group of copies can't hide what others miss.
+    """
     n = nodes.count()
     chosen = stored(nodes.where(F.pmod(F.xxhash64(F.col("id"), F.lit("audit")), F.lit(2 ** 32))
                                 < F.lit(size * 2.0 ** 32 / max(n, 1))), "audit")
@@ -254,13 +276,13 @@ def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, size: int
                 if path in by_path:
                     ids, queries = by_path[path]
                     hit = np.argwhere(_matrix(part["unit"]) @ np.array(queries).T >= cosine)
-                    a += [ids[j] for _, j in hit]
+                    a += [ids[j] for _, j in hit]      # the audited one
                     b += part["id"].to_numpy()[hit[:, 0]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-    true = nodes.mapInArrow(against, "a long, b long").where("a != b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    row = true.join(found.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return row[0], row[1]
+    true = nodes.mapInArrow(against, "a long, b long").where("a != b").distinct()
+    both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("hit", F.lit(1))
+    return true.join(both, ["a", "b"], "left").groupBy("a").agg((F.count("hit") / F.count("*")).alias("share")) \
+        .agg(F.avg("share")).first()[0]
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, audited: bool = True, most: int = SHARD_ROWS) -> DataFrame:
@@ -288,10 +310,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, audited: bool = Tru
     found = links(nodes, cosine, most)
     recall = None
     if audited:
-        true, hit = audit(nodes, found, cosine)
-        recall = hit / true if true else None
+        recall = audit(nodes, found, cosine)
         if recall is not None and recall < LEAST_RECALL:
-            raise RuntimeError(f"the graph finds {hit} of {true} audited links; raise DEGREE or BEAM")
+            raise RuntimeError(f"the graph finds {recall:.1%} of an audited vector's links; raise DEGREE or BEAM")
     copies = classes.select("id", "copies", "first")
     either = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = either.join(copies.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(

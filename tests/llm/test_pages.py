@@ -62,6 +62,24 @@ def test_near_vectors(spark, most):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_search_leaves_a_group_of_many_copies():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(2, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turn = base[1] - (base[1] @ base[0]) * base[0]
+    other = 0.987 * base[0] + np.sqrt(1 - 0.987 ** 2) * turn / np.linalg.norm(turn)
+    unit = np.concatenate([c + rng.normal(size=(150, 48)) * 0.002 for c in (base[0], other)] + [rng.normal(size=(500, 48))])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    lists = vectors.build(unit)
+    edges = np.full((len(unit), max(map(len, lists))), -1)
+    for i, near in enumerate(lists):
+        edges[i, :len(near)] = near
+    medoid = int(np.argmax(unit @ unit.sum(axis=0)))
+    for i in range(300):
+        got = vectors.search(unit[i], unit, edges, [medoid, i], 0.98)
+        assert got.tolist() == np.flatnonzero(unit @ unit[i] >= 0.98).tolist()
+
+
 PAGE = """<html><head><title>T</title></head><body><div id="cookie-notice">We use cookies</div><header class=site><h1>Site</h1></header>
 <div class="wrap has-sidebar"><div class="post-{n} post"><header><h1>Head &amp; line</h1><span>by X</span></header><p>Long paragraph {n},
 with text that goes on&nbsp;and on for a while.</p><p>Second para <a href=x>link</a>graph here<div class="ad-box">Buy!</div><ul><li>one<li>two
