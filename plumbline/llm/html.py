@@ -227,19 +227,51 @@ def _inside(page: Page, container: int, chosen: set[int]) -> bool:
     return False
 
 
+def _widened(page: Page, container: int) -> int:
+    """The outermost container that a chosen one is the main part of.
+
+    Article, main and what is named like one are taken up to the nearest article
+    or main element.  Another parent is taken when all else in it is text of its
+    own or parts of the same form, such as further sections.  What would be added
+    must not be mostly links.
+    """
+    out, below, climbing = container, container, True
+    while page.tag[out] not in ("article", "main") and page.parent[below] >= 0:
+        above = page.parent[below]
+        tag, last = page.tag[above], page.label[above].rpartition(">")[2]
+        rest, same = [], True
+        for block in page.blocks:
+            path = block[0]
+            inner = path
+            while path >= 0 and path != above:
+                inner, path = path, page.parent[path]
+            if path < 0 or _inside(page, block[0], {container}):
+                continue
+            rest.append(block)
+            if block[0] != above and inner != below:
+                same &= page.label[inner] == page.label[below] or page.tag[inner] in ("section", "blockquote", "figure", "details")
+        plain = sum(b[2] for b in rest) <= 0.5 * sum(len(b[1]) for b in rest)
+        named = tag not in ("#", "html", "body") and bool({w.lower() for w in _TOKENS.findall(last)} & _ARTICLE)
+        climbing &= same
+        if plain and (tag in ("article", "main") or named and page.tag[below] != "article" or climbing):
+            out = above
+        below = above
+    return out
+
+
 def extract(source: str | None, path: str | None = None) -> str:
-    """The blocks inside the containers of a path, or of the page's own best container."""
+    """The blocks inside the containers of a path, or of the page's own best container, widened to the whole article."""
     if not source:
         return ""
     page = parse(source)
     if not page.blocks:
         return ""
-    chosen = {i for i, label in enumerate(page.label) if label == path} if path else set()
+    chosen = {_widened(page, i) for i, label in enumerate(page.label) if label == path} if path else set()
     out = [b[1] for b in page.blocks if _inside(page, b[0], chosen)] if chosen else []
     if not out:
         ranked = best(page)
         own = page.label[ranked[0][1]] if ranked else None
-        chosen = {i for i, label in enumerate(page.label) if label == own} if own else {0}
+        chosen = {_widened(page, i) for i, label in enumerate(page.label) if label == own} if own else {0}
         out = [b[1] for b in page.blocks if _inside(page, b[0], chosen)]
     return " ".join(out)
 

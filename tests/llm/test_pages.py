@@ -105,6 +105,20 @@ def test_extract_templates(spark):
     assert html.page_table(df.limit(0)).count() == 0
 
 
+def test_extract_widens_to_the_article():
+    long = "<p>" + "prose of the article " * 200 + "</p>"
+    words = " ".join("prose of the article " * 200 for _ in "x").split()
+    for inner, outer in (("<blockquote>{}</blockquote>", "<article><h1>Head</h1><p>lede</p>{}<p>end</p></article>"),
+                         ("<section>{}</section>", "<article><h1>Head</h1><p>lede</p>{}<section><p>end</p></section></article>"),
+                         ("<div class=entry>{}</div>", "<div class=post><h1>Head</h1><p>lede</p>{}<p>end</p></div>"),
+                         ("<div class=text>{}</div>", "<div class=x><h1>Head</h1><p>lede</p>{}<p>end</p></div>")):
+        page = "<body><nav>menu</nav><div class=wrap><div class=feed><p>feed text</p></div>" + outer.format(inner.format(long)) + "</div></body>"
+        for path in (None, html.parse(page).label[html.best(html.parse(page))[0][1]]):
+            assert html.extract(page, path).split() == ["Head", "lede", *words, "end"]
+    links = "<div class=x><div class=text>" + long + "</div><a href=a>one more to read</a></div>"
+    assert html.extract("<body><div class=y>" + links + "</div></body>").split() == words
+
+
 def test_extract_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: (r.text, r.n_chars) for r in html.page_table(pages).collect()}
