@@ -9,6 +9,7 @@ entity, in any document and format, then shows the same surrogate.
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 
@@ -24,11 +25,12 @@ KEY = "plumbline"
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_CARD = re.compile(r"(?<![0-9A-Za-z.+-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])")
+_CARD = re.compile(r"(?<![0-9A-Za-z.+-])(?:3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7})(?![0-9A-Za-z])")
 _IP = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])")
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?:(?:\.[0-9]{1,3}){3})?(?![0-9A-Za-z])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _PHONE = re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])"
-                    r"|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9A-Za-z-])")
+                    r"|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])")
 
 # Forms of address by the gender they show.
 _TITLES = {
@@ -40,9 +42,6 @@ _GENDER = {t.lower(): g for g, ts in _TITLES.items() for t in ts.split()}
 _NAME_WORD = r"[^\W\d_a-zß-öø-ÿа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 _NAME = re.compile(r"(?<!\w)(?P<title>(?i:" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
                    + r"))\.?\s(?P<name>" + _NAME_WORD + r"(?: " + _NAME_WORD + r"){0,2})")
-# a text without one of these words needs no search for names
-_TITLE_WORDS = {before + form + after for t in _GENDER for form in (t, t.upper(), t[0].upper() + t[1:])
-                for before in ("", "(", '"', "'", "«", "„", "“", "¿", "¡", "[") for after in ("", ".")}
 _CUES = ["y name is ", "ch heiße ", "ein Name ist ", "e m'appelle ", "e llamo ", "i nombre es "]
 _CUE = re.compile("(?:" + "|".join(_CUES) + ")"
                   r"(?P<name>" + _NAME_WORD + r"(?: " + _NAME_WORD + r"){0,2})")
@@ -81,18 +80,26 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         for m in _EMAIL.finditer(text):
             found.append((m.start(), m.end(), "email", m[0].lower()))
-    if re.search("[0-9]", text):
+    if re.search("[0-9]|::", text):
         for m in _IBAN.finditer(text):
             value = m[0].replace(" ", "")
             if 15 <= len(value) <= 34 and _iban_rest(value) == 1:
                 found.append((m.start(), m.end(), "iban", value))
         for m in _CARD.finditer(text):
             value = _digits(m[0])
-            if len(value) == 16 or len(value) <= 19 and luhn(value):
+            if len(value) == 16 and value[0] != "2" or len(value) <= 19 and luhn(value):
                 found.append((m.start(), m.end(), "card", value))
         for m in _IP.finditer(text):
             if all(int(x) < 256 for x in m[0].split(".")):
                 found.append((m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m[0].split("."))))
+        for m in _IPV6.finditer(text):
+            mention = m[0] if m[0].endswith("::") else m[0].rstrip(":")
+            try:
+                value = str(ipaddress.IPv6Address(mention))
+            except ValueError:
+                continue
+            if value != "::":
+                found.append((m.start(), m.start() + len(mention), "ipv6", value))
         for m in _NATIONAL.finditer(text):
             found.append((m.start(), m.end(), "national", _digits(m[0])))
         for m in _PHONE.finditer(text):
@@ -100,7 +107,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             if 9 <= len(value) <= 15:
                 found.append((m.start(), m.end(), "phone", value[-10:] if len(value) == 11 and value[0] == "1" else value))
     names: dict[str, tuple[str, str]] = {}      # what a mention can look like: kind and canonical name
-    patterns = [_NAME] if not _TITLE_WORDS.isdisjoint(text.split()) else []
+    patterns = [_NAME]
     if any(cue in text for cue in _CUES):
         patterns.append(_CUE)
     for pattern in patterns:
@@ -171,7 +178,8 @@ def draw(kind: str, value: str, attempt: int, key: str) -> str:
         body = value[:2] + "00" + d.like(value[4:])
         return body[:2] + f"{98 - _iban_rest(body):02d}" + body[4:]
     if kind == "card":
-        body = value[0] + d.digits(len(value) - 2)
+        kept = 2 if len(value) == 15 else 1     # 15 digits are a card by the first two
+        body = value[:kept] + d.digits(len(value) - kept - 1)
         check = next(c for c in "0123456789" if luhn(body + c))
         return body + (check if luhn(value) else str((int(check) + 1 + d.below(9)) % 10))
     if kind == "ip":
@@ -183,6 +191,9 @@ def draw(kind: str, value: str, attempt: int, key: str) -> str:
             return ".".join([str(a), str(b), *rest[1:]])
         first = 11 + d.below(212)
         return ".".join([str(first + (first in (127, 172, 192))), *rest])
+    if kind == "ipv6":
+        groups = ipaddress.IPv6Address(value).exploded.split(":")
+        return str(ipaddress.IPv6Address(":".join(groups[:1] + [f"{d.below(65536):04x}" for _ in groups[1:]])))
     if kind == "national":
         return str(900 + d.below(100)) + d.digits(6)
     if kind == "phone":

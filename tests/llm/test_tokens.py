@@ -60,6 +60,19 @@ def test_surrogates_are_distinct_and_not_real(spark):
     assert len(got) == len(set(values)) == len(set(names)) and not set(names) & set(values)
 
 
+@pytest.mark.parametrize("text, gone", [
+    ("and/or Mr. Smith", "Smith"), ("*Dr. Jones*", "Jones"), ("<b>Mrs. Miller</b>", "Miller"), ("so-Mr. Lee", "Lee"),
+    ("x,Mr. Lee", "Lee"), ("\u2018Mr. Lee", "Lee"), ("card 3782 822463 10005.", "3782 822463 10005"),
+    ("card 2223 0031 2200 3222.", "2223 0031 2200 3222"), ("call 555 123 4567.", "555 123 4567"),
+    ("host 2001:db8::8a2e:370:7334, up", "2001:db8::8a2e:370:7334"), ("host fe80:0:0:0:1:2:3:4: up", "fe80:0:0:0:1:2:3:4")])
+def test_mentions_in_every_form(text, gone):
+    assert [text[a:b] for a, b, *_ in private.find(text)] == [gone]
+    (_, _, kind, value), = private.find(text)
+    new = private.render(kind, gone, private.draw(kind, value, 0, "k"))
+    assert new != gone and private.find(text.replace(gone, new))[0][2] == kind
+    assert not private.find("at 12:30:45 in a::b::c and 2020 1111 2222 3333")
+
+
 def test_packing(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["don't", "Été", "été", "naïve", "b́", "x\x1cy", "日本", "<|endoftext|>z", "I'S", "ΣΑΣ", "12", "..."])
