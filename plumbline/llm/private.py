@@ -74,6 +74,11 @@ def _script(word: str) -> str:
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, canonical value)`` of the mentions, in order, without overlap."""
+    return [m[:4] for m in _found(text)]
+
+
+def _found(text: str | None) -> list[tuple[int, int, str, str, str]]:
+    """Mentions as ``find`` has them, with the gender that the text shows: f, m or n."""
     if not text:
         return []
     found = []
@@ -107,6 +112,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             if 9 <= len(value) <= 15:
                 found.append((m.start(), m.end(), "phone", value[-10:] if len(value) == 11 and value[0] == "1" else value))
     names: dict[str, tuple[str, str]] = {}      # what a mention can look like: kind and canonical name
+    genders: dict[tuple[str, str], str] = {}
     patterns = [_NAME]
     if any(cue in text for cue in _CUES):
         patterns.append(_CUE)
@@ -122,9 +128,9 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             for i, w in enumerate(words):
                 given = len(words) > 1 and i < len(words) - 1
-                kind = f"{'given' if given else 'family'}_{_script(w)}{gender if given else ''}"
                 value = w[0] + w[1:].lower() if w.isupper() else w
-                names.setdefault(w, (kind, value))
+                name = names.setdefault(w, (f"name_{_script(w)}", value))
+                genders[name] = min(genders.get(name, "n"), gender if given else "n")   # f, m, n
                 if len(w) > 2:
                     names.setdefault(w.upper(), names[w])
     if names:
@@ -134,7 +140,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     out, last = [], 0
     for start, end, kind, value in sorted(found, key=lambda x: (x[0], -x[1])):
         if start >= last:
-            out.append((start, end, kind, value))
+            out.append((start, end, kind, value, genders.get((kind, value), "n")))
             last = end
     return out
 
@@ -166,8 +172,8 @@ _SOUNDS = {"l": ("bdfgklmnprstvz", "aeiou"), "c": ("бвгдзклмнпрст",
 _ENDINGS = {"f": {"l": "a", "c": "а", "g": "α"}, "m": {"l": "n", "c": "н", "g": "ς"}, "n": {"l": "s", "c": "с", "g": "ν"}}
 
 
-def draw(kind: str, value: str, attempt: int, key: str) -> str:
-    """The surrogate, in canonical form, that an entity gets at an attempt."""
+def draw(kind: str, value: str, attempt: int, key: str, gender: str = "n") -> str:
+    """The surrogate, in canonical form, that an entity gets at an attempt; ``gender`` is that of a name."""
     d = _Draws(key, kind, value, attempt)
     if kind == "email":
         local, _, domain = value.partition("@")
@@ -201,12 +207,12 @@ def draw(kind: str, value: str, attempt: int, key: str) -> str:
             middle = "555" if value[3:6] == "555" else str(2 + d.below(8)) + d.digits(2)
             return str(2 + d.below(8)) + d.digits(2) + middle + d.digits(4)
         return value[:2] + d.digits(len(value) - 2)
-    kind, _, rest = kind.partition("_")
-    consonants, vowels = _SOUNDS[rest[0]]
+    script = kind.partition("_")[2]
+    consonants, vowels = _SOUNDS[script]
     size = 2 + d.below(2) + attempt // 4
     name = "".join(consonants[d.below(len(consonants))] + vowels[d.below(len(vowels))] for _ in range(size))
-    ending = _ENDINGS[rest[1:] or "n"][rest[0]]
-    name = name[:-1] + ending if rest[1:] == "f" else name + ending
+    ending = _ENDINGS[gender][script]
+    name = name[:-1] + ending if gender == "f" else name + ending
     return name[0].upper() + name[1:]
 
 
@@ -234,10 +240,10 @@ def render(kind: str, mention: str, surrogate: str) -> str:
 
 def _mentions(batches):
     for batch in batches:
-        rows = [(h, k, v) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for k, v in dict.fromkeys((k, v) for _, _, k, v in find(t))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)],
-                                         ["digest", "kind", "value"])
+        rows = [(h, k, v, g) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for k, v, g in dict.fromkeys(m[2:] for m in _found(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)],
+                                         ["digest", "kind", "value", "gender"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -259,25 +265,25 @@ def _replaced(text: pd.Series, entities: pd.Series) -> pd.DataFrame:
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """``(kind, value, surrogate)`` for distinct ``(kind, value)``.
+    """``(kind, value, surrogate)`` for distinct ``(kind, value)``, and the ``gender`` of names where given.
 
-    Within a kind no two surrogates are equal and none is a value of the corpus.
+    Names of one script are one kind.  Within a kind no two surrogates are equal and none is a value of the corpus.
     """
     @F.pandas_udf("string")
-    def drawn(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([draw(k, v, a, key) for k, v, a in zip(kind, value, attempt, strict=True)], dtype=object)
+    def drawn(kind: pd.Series, value: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
+        return pd.Series([draw(k, v, a, key, g) for k, v, a, g in zip(kind, value, attempt, gender, strict=True)], dtype=object)
 
     def attempts(df):
-        return df.withColumn("surrogate", drawn("kind", "value", "attempt"))
+        return df.withColumn("surrogate", drawn("kind", "value", "attempt", "gender"))
 
-    entities = stored(entities, "entities")
+    entities = stored(entities if "gender" in entities.columns else entities.withColumn("gender", F.lit("n")), "entities")
     table = stored(attempts(entities.withColumn("attempt", F.lit(0))), "surrogates")
     while True:
         first = table.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n")) \
             .where("n > 1").drop("n")
         real = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         clash = stored(table.join(first, ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
-                       .where("real or value != first").select("kind", "value", F.expr("attempt + 1 as attempt")), "clashes")
+                       .where("real or value != first").select("kind", "value", "gender", F.expr("attempt + 1 as attempt")), "clashes")
         if clash.isEmpty():
             return table.select("kind", "value", "surrogate")
         table = stored(table.join(clash.select("kind", "value"), ["kind", "value"], "left_anti")
@@ -297,8 +303,9 @@ def surrogate_texts(docs: DataFrame, text_col: str = "text", key: str = KEY,
     text = F.col(text_col)
     some = docs.where(has_mention(text)).withColumn(p + "digest", F.md5(text))
     mentions = stored(docs.where(text.isNotNull()).select(F.md5(text).alias("digest"), text.alias("text"))
-                      .mapInArrow(_mentions, "digest string, kind string, value string").distinct(), "mentions")
-    table = assign(mentions.select("kind", "value").distinct(), key)
+                      .mapInArrow(_mentions, "digest string, kind string, value string, gender string").distinct(), "mentions")
+    # f and m come before n: a name has the gender that any text shows
+    table = assign(mentions.groupBy("kind", "value").agg(F.min("gender").alias("gender")), key)
     per_text = mentions.join(table, ["kind", "value"]).groupBy(F.col("digest").alias(p + "digest")).agg(
         F.collect_list(F.struct("kind", "value", "surrogate")).alias(p + "entities"))
     some = some.join(per_text, p + "digest").withColumn(p + "new", _replaced(text, F.col(p + "entities")))

@@ -60,6 +60,17 @@ def test_surrogates_are_distinct_and_not_real(spark):
     assert len(got) == len(set(values)) == len(set(names)) and not set(names) & set(values)
 
 
+def test_names_are_one_entity_in_every_document(spark):
+    rows = [(1, "Mrs Anna Smith"), (2, "Dr Anna Smith"), (3, "My name is Anna Smith"), (4, "Dr Smith")]
+    got = {r.doc_id: r.text for r in private.surrogate_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    given, family = got[1].removeprefix("Mrs ").split()
+    assert given.endswith("a") and got[2] == f"Dr {given} {family}" and got[3] == f"My name is {given} {family}" and got[4] == f"Dr {family}"
+    taken = private.draw("name_l", "Smith", 0, "k")
+    people = [("name_l", v, "n") for v in ("Smith", taken, "Jones")]
+    names = [r.surrogate for r in private.assign(spark.createDataFrame(people, "kind string, value string, gender string"), "k").collect()]
+    assert len(set(names)) == 3 and taken not in names
+
+
 @pytest.mark.parametrize("text, gone", [
     ("and/or Mr. Smith", "Smith"), ("*Dr. Jones*", "Jones"), ("<b>Mrs. Miller</b>", "Miller"), ("so-Mr. Lee", "Lee"),
     ("x,Mr. Lee", "Lee"), ("\u2018Mr. Lee", "Lee"), ("card 3782 822463 10005.", "3782 822463 10005"),
