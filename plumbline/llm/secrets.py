@@ -23,6 +23,7 @@ MORE = {
 }
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|change_?me|your|xxxx|0000000|12345678|abcdefgh"
 MOST_OWNERS = 2      # a live credential has few owners; more make it an example
+MOST_REPOSITORIES = 10   # and lies in few repositories, also those of one owner
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>"
 
 
@@ -90,24 +91,29 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", owner: Column | None = None,
-                 repository: Column | None = None, most_owners: int = MOST_OWNERS) -> DataFrame:
+                 repository: Column | None = None, most_owners: int = MOST_OWNERS,
+                 most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """One row per document: base spans, all spans, and how many look live or copied.
 
-    A candidate is live when at most ``most_owners`` owners hold its value and it
-    is no placeholder; when more do it is an example.  Base spans always stay;
+    A candidate is live when at most ``most_owners`` owners and at most
+    ``most_repositories`` repositories hold its value and it is no placeholder;
+    else it is an example.  Without a column for it, a document is a repository
+    of its source and language.  ``ownership`` lists every candidate with its
+    owners and repositories.  Base spans always stay;
     further ones are added when live.  Rows that repeat an id give a row each; a
     null or empty text has no span, a null owner is an owner like any other.
     """
     owner = F.col("source") if owner is None else owner
-    repository = F.concat_ws("/", "source", "lang") if repository is None else repository
+    repository = F.concat_ws("/", "source", "lang", "doc_id") if repository is None else repository
     seen = stored(scan(docs, text_col, owner, repository).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = seen.select("row", "owner", "repository", F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.*")
     ruled = each.join(ownership(each.select("hash", "owner", "repository")), "hash").select(
-        "row", "start", "kind_no", "end", "kind",
-        ((F.col("owners") <= most_owners) & ~F.col("placeholder")).alias("live"))
+        "row", "start", "kind_no", "end", "kind", "owners", "repositories",
+        ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories) & ~F.col("placeholder")).alias("live"))
     per_row = ruled.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(F.col("live") | (F.col("kind_no") < len(BASE)),
                                            F.struct("start", "kind_no", "end", "kind")))).alias("kept"),
+        F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "kind", "owners", "repositories"))).alias("counted"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"))
     out = seen.join(per_row, "row", "left")
 
@@ -116,5 +122,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", owner: Column | None =
     return out.select(
         "doc_id", *[n(k) for k in BASE], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         F.coalesce(_joined(F.col("kept")), F.lit("")).alias("spans"),
+        F.coalesce(F.array_join(F.transform("counted", lambda s: F.concat_ws(
+            ":", s["kind"], s["start"], s["end"], s["owners"], s["repositories"])), ","), F.lit("")).alias("ownership"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"))

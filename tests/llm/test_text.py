@@ -199,3 +199,11 @@ def test_secrets(spark):
     verdict = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in secrets.find_secrets(copied).collect()}
     assert verdict[0] == ("", 0, 1) and verdict[9] == ("vendor:4:32", 1, 0)
     assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_secrets_copied_inside_one_source(spark):
+    rows = [(i, "key ghp_" + "qW5" * 8, "hot") for i in range(40)] + [(90, "key ghp_" + "rT6" * 8, "hot"), (91, "key ghp_" + "rT6" * 8, "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    got = {r.doc_id: (r.spans, r.n_live, r.n_example, r.ownership) for r in secrets.find_secrets(df).collect()}
+    assert got[0] == ("", 0, 1, "vendor:4:32:1:40")
+    assert got[90] == got[91] == ("vendor:4:32", 1, 0, "vendor:4:32:2:2")
