@@ -14,9 +14,6 @@ from plumbline.operators.profile import Profile
 from plumbline.plans.full_report import full_report
 from plumbline.series import report  # noqa: F401
 
-# small settings of the registered fits; all rows are used
-ROUNDS, TREES, RUNS = 8, 10, 2
-
 
 def labeled(t, target="big_order"):
     """The labeled fixture without the planted copies of the target."""
@@ -177,30 +174,30 @@ def k17(t):
 @query("k7_baseline_probe")
 def k7(t):
     p = Profile(labeled(t), "big_order")
-    return sv.baseline_probe(p, "classification", rd.Findings(), rounds=ROUNDS)["folds"]
+    return sv.baseline_probe(p, "classification", rd.Findings())["folds"]
 
 
 @query("k7_baseline_probe_regression")
 def k7_regression(t):
     p = Profile(labeled(t, "o_totalprice"), "o_totalprice")
-    return sv.baseline_probe(p, "regression", rd.Findings(), rounds=ROUNDS)["curves"]
+    return sv.baseline_probe(p, "regression", rd.Findings())["curves"]
 
 
 @query("k8_learning_dynamics")
 def k8(t):
     p = Profile(labeled(t), "big_order")
-    return sv.baseline_probe(p, "classification", rd.Findings(), rounds=ROUNDS)["dynamics"]
+    return sv.baseline_probe(p, "classification", rd.Findings())["dynamics"]
 
 
 @query("k9_stability_checks")
 def k9(t):
     p = Profile(labeled(t), "big_order")
-    return sv.stability_checks(p, "classification", rd.Findings(), n_runs=RUNS, rounds=ROUNDS)["summary"]
+    return sv.stability_checks(p, "classification", rd.Findings())["summary"]
 
 
 @query("k11_labeled_diagnostics")
 def k11(t):
-    found = sv.labeled_diagnostics(Profile(labeled(t), "big_order"), rounds=4, n_runs=RUNS)
+    found = sv.labeled_diagnostics(Profile(labeled(t), "big_order"))
     return found["scores"]
 
 
@@ -231,18 +228,23 @@ def k20(t):
 @query("k21_model_arena")
 def k21(t):
     p = Profile(labeled(t), "big_order")
-    return sv.model_arena(p, "classification", trees=TREES, rounds=4)
+    return sv.model_arena(p, "classification")
 
 
 @query("k22_arena_ranking_regression")
 def k22(t):
     p = Profile(labeled(t, "o_totalprice"), "o_totalprice")
-    return sv.arena_ranking(sv.model_arena(p, "regression", trees=TREES, rounds=4))
+    return sv.arena_ranking(sv.model_arena(p, "regression"))
 
 
 @query("m4_full_report_labeled")
 def m4(t):
-    return full_report(t("orders_labeled").drop("price_band", "leak"), "big_order", rounds=3, trees=5, n_runs=RUNS).evaluate().status
+    return full_report(t("orders_labeled").drop("price_band", "leak"), "big_order").evaluate().status
+
+
+@query("m4_full_report_labeled_planted")
+def m4_planted(t):
+    return full_report(t("orders_labeled"), "big_order", row_key="o_orderkey").evaluate().status
 
 
 @query("m4_full_report_unlabeled")

@@ -79,3 +79,12 @@ def test_thresholds():
 def test_profile_does_not_depend_on_partitions(spark):
     df = spark.range(500).select("id", (F.col("id") % 7).alias("m"), F.rand(3).alias("r"))
     assert Profile(df.repartition(1)).roles == Profile(df.repartition(9)).roles
+
+
+def test_report_has_severe_rows_and_missing_ranking(spark):
+    from plumbline.plans.full_report import full_report
+    df = spark.createDataFrame([(i, None if i == 3 else float(i % 5), None if i < 6 else float(i * i % 7)) for i in range(30)],
+                               "id long, x double, y double")
+    report = full_report(df, row_key="id")
+    assert [r["column"] for r in report["missing_ranking"].collect()] == ["y", "x"]
+    assert "severe_rows" in report and report["severe_rows"].columns == ["id", "missing_pct"]
