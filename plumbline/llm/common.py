@@ -1,5 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one call, under one folder of the shared scratch space.
+
+    ``keep`` writes a table and reads it back, ``drop`` deletes tables that nothing reads any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, scratch_path(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """As ``keep``, in buckets of ``key``: tables of one bucket count join on it without a shuffle."""
+        table = f"scratch_{uuid.uuid4().hex}"
+        (df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{self.path}/{name}")
+         .saveAsTable(table, format="parquet"))
+        kept = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the files stay; the frame knows their place and buckets
+        return kept
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prefix_for(df: DataFrame) -> str:
     """A prefix that no column of ``df`` begins with, in either case."""
     prefix = "_q"
