@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import centroids, html, minhash, ngrams, packing, private, quality, secrets, segment, turns, vectors, warc
+from plumbline.llm import centroids, html, minhash, ngrams, packing, private, quality, secrets, segment, toxic, turns, vectors, warc
 from plumbline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,10 @@ def op10_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.score_texts(read(spark, folder, "documents"))
 
 
+def op11_toxicity_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic.score_toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op12_centroid_heaps(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.centroid_clusters(read(spark, folder, "embeddings"))
 
@@ -61,8 +65,8 @@ def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 for _query in (op1_vector_graph, op2_minhash_near_duplicates, op3_sampled_segmentations,
                op4_sum_of_squares_packing, op5_surrogates, op6_secret_ownership,
-               op7_quality_rules, op8_host_paths, op9_warc_transactions, op10_ngram_scores, op12_centroid_heaps,
-               op13_conversation_trie):
+               op7_quality_rules, op8_host_paths, op9_warc_transactions, op10_ngram_scores,
+               op11_toxicity_filters, op12_centroid_heaps, op13_conversation_trie):
     QUERIES[_query.__name__] = _query
 
 # Words are [^\x20\x09-\x0D]+ after A-Z is lowered; links are confirmed on full sets.
