@@ -5,6 +5,7 @@ import os
 import sys
 import time
 import traceback
+from collections import Counter
 
 import duckdb
 from pyspark.sql import SparkSession
@@ -56,8 +57,8 @@ def compare(spark, con, name: str, folder: str) -> str:
         return f"columns {got[0]} != {want[0]}"
     if got[1] == want[1]:
         return ""
-    only_got = [r for r in got[1] if r not in want[1]][:4]
-    only_want = [r for r in want[1] if r not in got[1]][:4]
+    has, wants = Counter(got[1]), Counter(want[1])
+    only_got, only_want = list((has - wants).elements())[:4], list((wants - has).elements())[:4]
     return f"{len(got[1])} rows vs {len(want[1])}; columns {got[0]}\n  spark {only_got}\n  duck  {only_want}"
 
 

@@ -147,25 +147,32 @@ def l9(t):
     return t("documents").select("doc_id", tf.filter_tokens(tf.clean_text(F.col("text"))).alias("text"))
 
 
-TFIDF = f"""
-tok AS (SELECT doc_id, {KEPT} AS w FROM docs_labeled),
+TFIDF = """
+tok AS (SELECT doc_id, @kept AS w FROM docs_labeled),
 terms AS (SELECT doc_id, unnest(w) AS term FROM tok UNION ALL
   SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok WHERE len(w) >= 2),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
-voc AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 5000),
+voc AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term @limit),
 num AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM voc),
 w AS (SELECT doc_id, term, idx, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM docs_labeled)) / (1 + df)) + 1) AS w
   FROM tf JOIN num USING (term)),
-weights AS (SELECT doc_id, term, idx, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
+weights AS (SELECT doc_id, term, idx, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)""".replace("@kept", KEPT)
+ALL_TERMS, TOP_TERMS = TFIDF.replace("@limit", ""), TFIDF.replace("@limit", "LIMIT 5000")
 
 
-@query("l10_tfidf_features", on("docs_labeled", more=TFIDF, body="""
+@query("l10_tfidf_features", on("docs_labeled", more=TOP_TERMS, body="""
 SELECT doc_id, term, idx AS "index", round(weight, 8) AS weight FROM weights"""))
 def l10(t):
     return rounded(tf.tfidf_features(t("docs_labeled"), "doc_id", "text"), "weight", digits=8)
 
 
-@query("l11_assemble_features", on("docs_labeled", more=TFIDF, body="""
+@query("l10_tfidf_features_all_terms", on("docs_labeled", more=ALL_TERMS, body="""
+SELECT doc_id, term, idx AS "index", round(weight, 8) AS weight FROM weights"""))
+def l10_all(t):
+    return rounded(tf.tfidf_features(t("docs_labeled"), "doc_id", "text", max_terms=None), "weight", digits=8)
+
+
+@query("l11_assemble_features", on("docs_labeled", more=TOP_TERMS, body="""
 SELECT doc_id, idx AS "index", round(weight, 8) AS value FROM weights
 UNION ALL SELECT doc_id, 5000, n_chars::DOUBLE FROM docs_labeled WHERE n_chars <> 0
 UNION ALL SELECT doc_id, 5001, toxic::DOUBLE FROM docs_labeled WHERE toxic <> 0"""))

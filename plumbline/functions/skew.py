@@ -12,14 +12,16 @@ ROWS_PER_KEY = 100_000
 MOST_HEAVY = 10_000
 
 
-def heavy_keys(many: DataFrame, on: list[str], rows_per_key: int = ROWS_PER_KEY) -> DataFrame | None:
+def heavy_keys(many: DataFrame, on: list[str], rows_per_key: int = ROWS_PER_KEY,
+               counts: DataFrame | None = None) -> DataFrame | None:
     """``on..., _parts``: keys with more than ``rows_per_key`` rows and the number of parts to make of each.
 
     Counts are combined before the shuffle.  The limit is raised until at most
     ``MOST_HEAVY`` keys are left, which happens by itself at ``rows / MOST_HEAVY``.
-    None when no key is heavy.
+    None when no key is heavy.  ``counts`` (``on..., _n``) saves the count where the caller has it.
     """
-    counts = many.groupBy(*[quoted(c) for c in on]).agg(F.count("*").alias("_n"))
+    if counts is None:
+        counts = many.groupBy(*[quoted(c) for c in on]).agg(F.count("*").alias("_n"))
     heavy = cut_lineage(counts.where(F.col("_n") > rows_per_key))
     while (found := heavy.count()) > MOST_HEAVY:
         rows_per_key *= 4
@@ -30,7 +32,7 @@ def heavy_keys(many: DataFrame, on: list[str], rows_per_key: int = ROWS_PER_KEY)
 
 
 def split_join(many: DataFrame, one: DataFrame, on: list[str], spread: Column, how: str = "inner",
-               rows_per_key: int = ROWS_PER_KEY) -> DataFrame:
+               rows_per_key: int = ROWS_PER_KEY, counts: DataFrame | None = None) -> DataFrame:
     """``many.join(one, on, how)`` (inner, left, left_semi, left_anti) with the heavy keys of ``many`` dealt to several tasks.
 
     ``spread`` is any value that differs between the rows of one key (a row id, a
@@ -38,7 +40,7 @@ def split_join(many: DataFrame, one: DataFrame, on: list[str], spread: Column, h
     repeated once per part.  Null keys match nothing; a heavy null key is split as
     any other.  No setting of adaptive execution is needed.
     """
-    heavy = heavy_keys(many, on, rows_per_key)
+    heavy = heavy_keys(many, on, rows_per_key, counts)
     if heavy is None:
         return many.join(one, on, how)
     keys = [quoted(c) for c in on]
