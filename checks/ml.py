@@ -96,7 +96,9 @@ def k5(t):
     return ft.encode_target(t("orders_labeled"), "o_orderstatus")
 
 
-@query("k6_stratified_folds")
+@query("k6_stratified_folds", on("orders_labeled", body="""
+SELECT o_orderstatus, (i % 3)::INT AS fold, count(*) AS n
+FROM (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus) AS i FROM orders_labeled) GROUP BY ALL"""))
 def k6(t):
     rows = t("orders_labeled").withColumn(ft.ROW, F.col("o_orderkey"))
     return ft.assign_folds(rows, 3, "o_orderstatus").groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
@@ -201,6 +203,21 @@ def k11(t):
     return found["scores"]
 
 
+@query("k11_leakage_stop", on("orders_labeled", more="num AS (" + union(
+    "SELECT '@n' AS col, abs(corr(@c, big_order)) AS r FROM orders_labeled", ["o_custkey", "c_acctbal", "leak"])
+    + "), cat AS (" + union(IMPACT.format(table="orders_labeled", y="big_order").replace("'@n' AS \"column\"", "'@n' AS col"),
+                            ["c_mktsegment", "c_nationkey", "o_orderpriority", "o_orderstatus", "price_band"])
+    + ")", body="""
+SELECT CASE WHEN risk > 90 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN risk > 90 THEN 'leakage' END AS stage,
+  CASE WHEN risk > 90 THEN 'leakage_risk' END AS issue, risk AS leakage_risk
+FROM (SELECT least(100, 40 * (SELECT sum(CASE WHEN col = 'leak' THEN 2 ELSE 1 END) FROM num WHERE r > 0.95)
+  + 25 * (SELECT count(*) FROM cat WHERE shift_tv > 0.99))::INT AS risk)"""))
+def k11_stop(t):
+    twice = t("orders_labeled").withColumn("leak_again", F.col("leak") * 2 + 1)
+    found = sv.labeled_diagnostics(Profile(twice, "big_order"))
+    return found["status"].withColumn("leakage_risk", F.lit(found["leakage"].first()["leakage_risk"]))
+
+
 @query("k18_isolation_forest")
 def k18(t):
     scaled, columns = us.unlabeled_features(Profile(t("li_gappy")))

@@ -16,6 +16,7 @@ from plumbline.operators.profile import Profile, moments
 # A code table with at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_CODES = 200_000
 ROW = "_rid"
+ROWS_PER_TASK = 20_000
 
 
 def category_codes(df: DataFrame, columns: list[str], null_as: str) -> DataFrame:
@@ -93,15 +94,33 @@ def feature_table(profile: Profile, *more: Column) -> DataFrame:
     Training reads the table many times, so the lineage is cut here.
     """
     cols = [quoted(c) for c in profile.features]
-    return cut_lineage(profile.df.select(*cols, *more, row_hash(profile.df).alias(ROW)))
+    return cut_lineage(with_row_ids(profile.df, cols + list(more)))
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A row id that follows from the row alone, so that no partitioning changes what is drawn by it.
+    """A hash of the whole row; equal rows share it."""
+    return F.xxhash64(*[quoted(c) for c, kind in kinds(df).items() if kind != "unsupported"])
+
+
+def with_row_ids(df: DataFrame, keep: list[Column] | None = None) -> DataFrame:
+    """The rows (or the columns ``keep`` of them) with an id ``ROW`` of their own, the same for any partitioning.
 
-    Equal rows share an id: they fall into one fold and get one score.
+    The id is a hash of the row and its occurrence number among equal rows, so
+    a draw by id takes copies one by one, in proportion.  Occurrences are numbered
+    inside a partition and shifted by the counts of the partitions before; a row on
+    a third of the table is never gathered in one task.  Partition numbers are
+    written to the checkpoint folder before use.
     """
-    return F.xxhash64(*[quoted(c) for c, kind in kinds(df).items() if kind != "unsupported"])
+    keep = [quoted(c) for c in df.columns] if keep is None else keep
+    marked = cut_lineage(df.select(*keep, row_hash(df).alias("_same"), F.spark_partition_id().alias("_part")))
+    counts = marked.groupBy("_same", "_part").agg(F.count("*").alias("_n"))
+    # one row per partition that holds the row at most
+    before = Window.partitionBy("_same").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_same", "_part", F.sum("_n").over(before).alias("_shift")).filter("_shift > 0")
+    inside = F.row_number().over(Window.partitionBy("_same", "_part").orderBy("_same"))
+    return (marked.withColumn("_at", inside).join(shifts, ["_same", "_part"], "left")
+            .withColumn(ROW, F.xxhash64("_same", F.col("_at") + F.coalesce("_shift", F.lit(0))))
+            .drop("_same", "_part", "_at", "_shift"))
 
 
 def encode_target(df: DataFrame, target: str) -> DataFrame:
@@ -159,6 +178,11 @@ def with_vector(df: DataFrame, columns: list[str], name: str = "features") -> Da
     return VectorAssembler(inputCols=columns, outputCol=name).transform(df)
 
 
+def compact(df: DataFrame, n_rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """No more partitions than the rows are worth: a fit runs thousands of short jobs."""
+    return df.coalesce(max(1, -(-n_rows // rows_per_task)))
+
+
 def duplicate_rows(df: DataFrame, without: list[str] = ()) -> DataFrame:
     """``n_rows, n_repeats, duplicate_share``: rows equal to an earlier one (nulls are equal).
 

@@ -1,6 +1,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from plumbline.ml import features as ft
@@ -122,11 +124,54 @@ def test_score_is_that_of_the_truncated_model(spark):
     fit = sv.boosted_fit(data, "classification", 2, rounds=200)     # noise: the first rounds are the best
     assert fit["rounds"] < 200 and len(fit["val"]) == fit["best"] + 1 + sv.PATIENCE
     train = data.filter("not _val").withColumn("_one", F.col(sv.LABEL))
-    model = sv.GBTClassifier(featuresCol="features", labelCol="_one", maxIter=fit["best"] + 1, stepSize=0.1, maxDepth=5,
+    model = GBTClassifier(featuresCol="features", labelCol="_one", maxIter=fit["best"] + 1, stepSize=0.1, maxDepth=5,
                              maxBins=64, seed=42).fit(train)
     assert fit["score"] == pytest.approx(sv.balanced_accuracy(model.transform(data.filter("_val"))).first()[0])
 
 
+def test_boosting_goes_on_like_one_fit(spark):
+    df = spark.range(500).select(F.rand(1).alias("x"), F.rand(2).alias("z"), (F.col("id") % 4 == 0).alias("_val"))
+    data = ft.with_vector(df.withColumn(sv.LABEL, F.col("x") * F.col("x") + 0.1 * F.col("z")), ["x", "z"]).repartition(3).cache()
+    grown = sv.Boosting(data, "regression", 0)
+    grown.advance(3)
+    grown.advance(4)
+    assert grown.rounds == 7
+    whole = GBTRegressor(labelCol=sv.LABEL, maxIter=7, stepSize=0.1, maxDepth=5, maxBins=64, seed=42).fit(data.filter("not _val"))
+    for part, got in (("_val", grown.val_losses), ("not _val", grown.train_losses)):
+        assert got == pytest.approx(whole.evaluateEachIteration(data.filter(part), "squared"))
+    kept = GBTRegressor(labelCol=sv.LABEL, maxIter=int(np.argmin(grown.val_losses)) + 1, stepSize=0.1, maxDepth=5, maxBins=64,
+                        seed=42).fit(data.filter("not _val"))
+    want = sorted(r["prediction"] for r in kept.transform(data.filter("_val")).collect())
+    assert sorted(r["prediction"] for r in grown.predictions().filter("_val").collect()) == pytest.approx(want)
+
+
+def repeated(spark):
+    """200,000 rows of 400 distinct ones, the first of them a third of all."""
+    return spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 400).cast("double").alias("a"))
+
+
+def test_copies_are_drawn_one_by_one(spark):
+    df = repeated(spark)
+    ids = ft.with_row_ids(df).cache()
+    assert ids.count() == ids.select(ft.ROW).distinct().count() == 200_000
+    want = None
+    for n in (1, 5, 9):
+        got = ft.with_row_ids(df.repartition(n)).agg(F.sum(F.xxhash64("a", ft.ROW).cast("decimal(38,0)"))).first()[0]
+        assert want in (None, got)
+        want = got
+    pool = us.pool_of(ids.select(ft.ROW, F.array("a").alias("x")), 12_800, 42)
+    drawn = {r["x"][0]: r["n"] for r in pool.groupBy("x").agg(F.count("*").alias("n")).collect()}
+    assert sum(drawn.values()) == 12_800 and len(drawn) == 400
+    assert drawn[0.0] == pytest.approx(12_800 * 66_833 / 200_000, rel=0.06)
+    for run in range(3):
+        assert ft.subsample(ids, run).count() == pytest.approx(160_000, rel=0.01)
+    folds = ft.assign_folds(ids, 3, None, rows_per_group=20_000, n_rows=200_000)
+    sizes = [r["count"] for r in folds.groupBy("fold").count().collect()]
+    assert max(sizes) - min(sizes) <= 10
+    salts = ids.groupBy(F.pmod(F.xxhash64(F.lit(43), F.col(ft.ROW)), F.lit(10))).count().agg(F.max("count")).first()[0]
+    assert salts < 1.1 * 20_000
+
+
 def test_anomalies_do_not_depend_on_partitions(spark):
     df = spark.range(3000).select((F.col("id") * 7).alias("key"), F.rand(3).alias("a"), (F.rand(4) * F.rand(5)).alias("b")).cache()
     rows = []
