@@ -210,11 +210,11 @@ def k11(t):
     + ")", body="""
 SELECT CASE WHEN risk > 90 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN risk > 90 THEN 'leakage' END AS stage,
   CASE WHEN risk > 90 THEN 'leakage_risk' END AS issue, risk AS leakage_risk
-FROM (SELECT least(100, 40 * (SELECT sum(CASE WHEN col = 'leak' THEN 2 ELSE 1 END) FROM num WHERE r > 0.95)
+FROM (SELECT least(100, 40 * (SELECT sum(CASE WHEN col = 'leak' THEN 3 ELSE 1 END) FROM num WHERE r > 0.95)
   + 25 * (SELECT count(*) FROM cat WHERE shift_tv > 0.99))::INT AS risk)"""))
 def k11_stop(t):
-    twice = t("orders_labeled").withColumn("leak_again", F.col("leak") * 2 + 1)
-    found = sv.labeled_diagnostics(Profile(twice, "big_order"))
+    thrice = t("orders_labeled").withColumns({"leak_again": F.col("leak") * 2 + 1, "leak_once_more": F.col("leak") * 3 - 1})
+    found = sv.labeled_diagnostics(Profile(thrice, "big_order"))
     return found["status"].withColumn("leakage_risk", F.lit(found["leakage"].first()["leakage_risk"]))
 
 
