@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first held against a few pivots, the most central one before all, which joins
     a large group of copies without looking at its pairs.  Then only pairs are
     formed that are still in different components and whose sizes and parity maps
-    allow a link; a map's bound is exact, so none is lost.  Rows without an id, and empty sets,
+    allow a link, each at its smallest common value alone; a map's bound is exact, so none is lost.  Rows without an id, and empty sets,
     link with nothing and are their own component.  Rows that repeat an id give
     a row each.
     """
@@ -179,15 +179,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = members.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .where("x != y").select("value")
     words = range(PARITY_WORDS)
-    left = members.join(mixed, "value", "left_semi").join(
-        sets.select("id", *[F.col("parity")[k].alias(f"x{k}") for k in words]), "id")
+    open_ = stored(members.join(mixed, "value", "left_semi"), "open")
+    # a pair meets at its smallest common value alone, not once for each
+    lists = open_.groupBy("id").agg(F.collect_list("value").alias("listed"))
+    left = (open_.join(sets.select("id", *[F.col("parity")[k].alias(f"x{k}") for k in words]), "id").join(lists, "id")
+            .withColumn("before", F.filter("listed", lambda v: v < F.col("value"))))
     right = left.select("value", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("component").alias("p_component"),
-                        *[F.col(f"x{k}").alias(f"y{k}") for k in words])
+                        F.col("before").alias("p_before"), *[F.col(f"x{k}").alias(f"y{k}") for k in words])
     # linked sets differ in no more than this share of their members
     differ = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in words), F.lit(0))
     found = linked(left.join(right, "value")
                    .where((F.col("component") != F.col("p_component")) & (F.col("id") < F.col("p"))
-                          & alike(F.col("n"), F.col("p_n"))
+                          & alike(F.col("n"), F.col("p_n")) & ~F.arrays_overlap("before", "p_before")
                           & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("p_n"))))
                    .select(F.col("id").alias("a"), F.col("p").alias("b")).distinct())
     if not found.isEmpty():
