@@ -226,7 +226,8 @@ r AS (SELECT *, CASE WHEN stat <= 0.347 THEN 0.10 WHEN stat <= 0.463 THEN 0.10 +
   WHEN stat <= 0.739 THEN 0.025 + (stat - 0.574) / (0.739 - 0.574) * (0.01 - 0.025) ELSE 0.01 END AS pv FROM k)"""
 for _kind, _load in (("daily", daily), ("monthly", monthly), ("hourly", hourly)):
     query(f"j8_kpss_test_{_kind}", series_sql(_kind, """
-SELECT series_id, 'kpss' AS test, bw AS bandwidth, round(stat, 4) AS statistic, round(pv, 4) AS p_value, pv > 0.05 AS is_stationary
+SELECT series_id, 'kpss' AS test, bw AS bandwidth, round(stat, 4) AS statistic, round(pv, 4) AS p_value, pv > 0.05 AS is_stationary,
+  0.347::DOUBLE AS crit_10, 0.463::DOUBLE AS crit_5, 0.574::DOUBLE AS crit_2_5, 0.739::DOUBLE AS crit_1
 FROM r""", KPSS.format(most=60)))(lambda t, load=_load: rounded(st.kpss_test(load(t)), "statistic", "p_value"))
 
 

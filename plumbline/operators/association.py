@@ -10,6 +10,7 @@ from plumbline.functions.frequency import distinct_counts
 from plumbline.functions.gram import pair_sums, pearson_pairs
 from plumbline.functions.ordered import running_sums
 from plumbline.functions.session import cut_lineage
+from plumbline.functions.skew import split_join
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.operators.profile import (Profile, corrected_kurtosis, corrected_skewness, moments)
 
@@ -156,7 +157,9 @@ def target_spearman(target: Target, columns: list[str]) -> DataFrame:
         rank = F.col("before") + (F.col("c") + 1) / 2
         ranks = (running_sums(counts, ["column"], [v], {"before": F.col("c")})
                  .select("column", v, rank.alias(f"r{v}")))
-        ranked = ranked.join(ranks, ["column", v])
+        # a value on a third of all rows meets its rank in many tasks
+        found = pairs.groupBy("column", v).agg(F.count("*").alias("_n"))
+        ranked = split_join(ranked, ranks, ["column", v], F.struct("x", "y"), counts=found)
     n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
     # ranks are centred by the known mean rank (N + 1) / 2 before they are squared
     mid = pairs.groupBy("column").agg(((F.sum("n") + 1) / 2).alias("mid"))
@@ -198,12 +201,13 @@ def category_impact_classification(target: Target, columns: list[str]) -> DataFr
     overall = (df.groupBy(label).agg(F.count("*").alias("n")).filter("cls is not null"))
     total = overall.agg(F.sum("n")).first()[0] or 0
     overall = overall.select("cls", (F.col("n") / F.lit(total)).alias("share_all"))
-    counts = (_category_cells(df, columns, label).filter("cls is not null")
-              .groupBy("column", "value", "cls").agg(F.count("*").alias("n")))
+    # read for the sizes, the frequent classes and the join
+    counts = cut_lineage(_category_cells(df, columns, label).filter("cls is not null")
+                         .groupBy("column", "value", "cls").agg(F.count("*").alias("n")))
     # partial sums per (column, value) instead of a window over them
     sizes = counts.groupBy("column", "value").agg(F.sum("n").alias("size"))
     gap = F.abs(F.col("n") / F.col("size") - F.col("share_all"))
-    shifts = (counts.join(sizes, ["column", "value"]).join(overall, "cls")
+    shifts = (split_join(counts, overall, ["cls"], F.struct("column", "value")).join(sizes, ["column", "value"])
               .groupBy("column", "value")
               .agg((F.sum(gap) / 2).alias("ref"),
                    ((F.sum(gap) + (1 - F.sum("share_all"))) / 2).alias("tv")))

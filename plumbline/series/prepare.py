@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import aggregate_long, as_double, kinds, quoted
 from plumbline.functions.ordered import chunk_window, overlapped, with_position
 from plumbline.functions.session import cut_lineage
+from plumbline.functions.skew import split_join
 
 KEY = "series_id"
 MICROS = 1_000_000
@@ -208,7 +209,9 @@ def prepare_series(df: DataFrame, time: str, value: str, series: str | None = No
               .groupBy(KEY, "t").agg(F.avg("y").alias("y")))
     sizes = points.groupBy(KEY).agg(F.count("*").alias("n"))
     # written once, read by every operator on the set
-    return SeriesSet(cut_lineage(with_position(points, [KEY], ["t"]).join(sizes, KEY)))
+    placed = split_join(with_position(points, [KEY], ["t"]), sizes, [KEY], F.col("t"),
+                        counts=sizes.withColumnRenamed("n", "_n"))
+    return SeriesSet(cut_lineage(placed))
 
 
 def infer_frequency(s: SeriesSet) -> DataFrame:

@@ -226,11 +226,12 @@ def kpss_pvalue(statistic: Column) -> Column:
 
 
 def kpss_test(s: SeriesSet) -> DataFrame:
-    """``series_id, test, bandwidth, statistic, p_value, is_stationary`` (level stationarity)."""
+    """``series_id, test, bandwidth, statistic, p_value, is_stationary`` and the critical values (level stationarity)."""
     p = kpss_pvalue(F.col("statistic"))
+    critical = [F.lit(c).alias(f"crit_{100 * a:g}".replace(".", "_")) for a, c in zip(KPSS_P, KPSS_CRITICAL)]
     return (kpss_statistic(s.points, [KEY]).filter("statistic is not null")
             .select(KEY, F.lit("kpss").alias("test"), "bandwidth", "statistic", p.alias("p_value"),
-                    (p > 0.05).alias("is_stationary")))
+                    (p > 0.05).alias("is_stationary"), *critical))
 
 
 def adf_pvalue(t: float) -> float:

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.skew import heavy_keys, split_join
 from plumbline.functions import ordered, quantiles
 from plumbline.functions.frequency import digest, distinct_counts
 from plumbline.functions.gram import pearson_pairs
@@ -129,3 +130,27 @@ def test_token_rule(spark):
     row = spark.createDataFrame([("<b>Don't</b> stop-now, x1 Été! ok",)], "t string")
     assert row.select(tokens(F.col("t"))).first()[0] == ["été", "ok"]
     assert set(STRIP) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
+
+
+def test_heavy_keys_are_split_without_adaptive_execution(spark):
+    """A third of the rows on one key, another third on null: no task of the join sees more than a part of them."""
+    many = spark.range(60_000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 500)).alias("key"))
+    one = many.select("key").distinct().where("key is not null and key != 'k7'").withColumn("v", F.length("key"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            got = split_join(many, one, ["key"], F.col("id"), how, rows_per_key=200)
+            want = many.join(one, ["key"], how)
+            assert got.columns == want.columns
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            sizes = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+            # unsplit, 20,000 rows of a hot key meet in one partition
+            assert how in ("left_semi", "left_anti") or sizes < 5000
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert heavy_keys(many, ["key"], rows_per_key=50_000) is None
