@@ -13,15 +13,21 @@ import ipaddress
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.columns import quoted
+from plumbline.functions.skew import split_join
 from plumbline.llm.common import prefix_for, stored
 
-KEY = "plumbline"
+# The key of a session that sets none: for trials, as everybody can read it.
+KEY_SETTING, TRIAL_KEY = "spark.plumbline.surrogateKey", "plumbline"
+MOST_ATTEMPTS = 40
+_WIDER = 8           # the attempt from which the other private addresses are drawn from too
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -194,6 +200,8 @@ def draw(kind: str, value: str, attempt: int, key: str, gender: str = "n") -> st
         if a == 10 or a == 127:
             return ".".join([str(a), *rest])
         if (a, b) == (192, 168) or a == 172 and 16 <= b < 32:
+            if attempt >= _WIDER:
+                return ".".join(["10", *rest])
             return ".".join([str(a), str(b), *rest[1:]])
         first = 11 + d.below(212)
         return ".".join([str(first + (first in (127, 172, 192))), *rest])
@@ -238,36 +246,43 @@ def render(kind: str, mention: str, surrogate: str) -> str:
     return surrogate
 
 
-def _mentions(batches):
-    for batch in batches:
-        rows = [(h, k, v, g) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for k, v, g in dict.fromkeys(m[2:] for m in _found(t))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)],
-                                         ["digest", "kind", "value", "gender"])
+_SPANS = T.ArrayType(T.StructType([
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()),
+    T.StructField("value", T.StringType()), T.StructField("gender", T.StringType())]))
 
 
-@F.pandas_udf(T.BooleanType())
-def has_mention(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: bool(find(t)))
+@F.arrow_udf(_SPANS)
+def _searched(text: pa.Array) -> pa.Array:
+    """The mentions of a text; null for a text without one."""
+    found = [_found(t) for t in text.to_pylist()]
+    flat = [m for ms in found for m in ms]
+    parts = [pa.array([m[i] for m in flat], kind) for i, kind in enumerate([pa.int32()] * 2 + [pa.string()] * 3)]
+    ends = np.cumsum([len(ms) for ms in found], dtype=np.int32)
+    begins = pa.array(np.concatenate([[0], ends]).astype(np.int32),
+                      mask=np.array([not ms for ms in found] + [False], dtype=bool))
+    return pa.ListArray.from_arrays(begins, pa.StructArray.from_arrays(parts, [f.name for f in _SPANS.elementType]))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
-def _replaced(text: pd.Series, entities: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(T.StringType())
+def _replaced(text: pa.Array, spans: pa.Array, entities: pa.Array) -> pa.Array:
     out = []
-    for t, es in zip(text, entities, strict=True):
+    for t, found, es in zip(text.to_pylist(), spans.to_pylist(), entities.to_pylist(), strict=True):
         known = {(e["kind"], e["value"]): e["surrogate"] for e in es}
-        parts, last, n = [], 0, 0
-        for start, end, kind, value in find(t):
-            parts += [t[last:start], render(kind, t[start:end], known[kind, value])]
-            last, n = end, n + 1
-        out.append(("".join([*parts, t[last:]]), n))
-    return pd.DataFrame(out, columns=["text", "n"])
+        parts, last = [], 0
+        for m in found:
+            parts += [t[last:m["start"]], render(m["kind"], t[m["start"]:m["end"]], known[m["kind"], m["value"]])]
+            last = m["end"]
+        out.append("".join([*parts, t[last:]]))
+    return pa.array(out, pa.string())
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
+def assign(entities: DataFrame, key: str, most_attempts: int = MOST_ATTEMPTS) -> DataFrame:
     """``(kind, value, surrogate)`` for distinct ``(kind, value)``, and the ``gender`` of names where given.
 
     Names of one script are one kind.  Within a kind no two surrogates are equal and none is a value of the corpus.
+    Of entities that draw one surrogate the smallest value keeps it and the others draw again, from a wider space
+    after some attempts where the kind has one.  Entities left after ``most_attempts`` are a ``ValueError``: their
+    kind has too few values.  No entities give no rows.
     """
     @F.pandas_udf("string")
     def drawn(kind: pd.Series, value: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
@@ -278,7 +293,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
     entities = stored(entities if "gender" in entities.columns else entities.withColumn("gender", F.lit("n")), "entities")
     table = stored(attempts(entities.withColumn("attempt", F.lit(0))), "surrogates")
-    while True:
+    for _ in range(most_attempts):
         first = table.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n")) \
             .where("n > 1").drop("n")
         real = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
@@ -288,40 +303,56 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
             return table.select("kind", "value", "surrogate")
         table = stored(table.join(clash.select("kind", "value"), ["kind", "value"], "left_anti")
                        .unionByName(attempts(clash)), "surrogates")
+    left = clash.groupBy("kind").agg(F.count("*").alias("n"), F.min("value").alias("least")).orderBy("kind").limit(3).collect()
+    raise ValueError(f"no free surrogate after {most_attempts} attempts for "
+                     + ", ".join(f"{r['n']} of kind {r['kind']}" for r in left))
 
 
-def surrogate_texts(docs: DataFrame, text_col: str = "text", key: str = KEY,
-                    count_col: str | None = None) -> DataFrame:
+def surrogate_texts(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the personal data of ``text_col`` replaced; other rows and columns as they are.
 
-    A column ``n_chars`` is set to the new length where a text changes.
-    ``count_col`` adds the number of mentions.  Null and empty texts hold no
-    mention; repeated rows stay and get equal texts; an empty table stays empty.
-    Only documents with mentions are shuffled.
+    ``key`` is the secret that surrogates are drawn with; who has it can test guesses
+    of what was replaced.  A column ``n_chars`` is set to the new length where a text
+    changes.  ``count_col`` adds the number of mentions.  Null and empty texts hold no
+    mention; repeated rows stay and get equal texts; texts of any length are searched
+    whole; an empty table stays empty; columns may have any names, those of the work
+    tables included.  A text is searched once: rows and spans are written to the shared
+    folder.  Only documents with mentions are shuffled, and a text that very many rows
+    have is dealt to several tasks.
     """
     p = prefix_for(docs)
-    text = F.col(text_col)
-    some = docs.where(has_mention(text)).withColumn(p + "digest", F.md5(text))
-    mentions = stored(docs.where(text.isNotNull()).select(F.md5(text).alias("digest"), text.alias("text"))
-                      .mapInArrow(_mentions, "digest string, kind string, value string, gender string").distinct(), "mentions")
+    text = quoted(text_col)
+    searched = stored(docs.select("*", _searched(text.cast("string")).alias(p + "spans")), "searched")
+    none = searched.where(F.col(p + "spans").isNull())
+    some = searched.where(F.col(p + "spans").isNotNull()).select(
+        F.struct(*[quoted(c) for c in docs.columns]).alias("row"), F.col(p + "spans").alias("spans"), F.md5(text).alias("digest"))
+    mentions = stored(some.select("digest", F.explode("spans").alias("m"))
+                      .select("digest", "m.kind", "m.value", "m.gender").distinct(), "mentions")
     # f and m come before n: a name has the gender that any text shows
     table = assign(mentions.groupBy("kind", "value").agg(F.min("gender").alias("gender")), key)
-    per_text = mentions.join(table, ["kind", "value"]).groupBy(F.col("digest").alias(p + "digest")).agg(
-        F.collect_list(F.struct("kind", "value", "surrogate")).alias(p + "entities"))
-    some = some.join(per_text, p + "digest").withColumn(p + "new", _replaced(text, F.col(p + "entities")))
+    per_text = split_join(mentions.select("digest", "kind", "value").distinct(), table, ["kind", "value"], F.col("digest")) \
+        .groupBy("digest").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("entities"))
+    # the number deals rows of equal texts to parts; results do not depend on it
+    some = split_join(some.withColumn("number", F.monotonically_increasing_id()), per_text, ["digest"], F.col("number"))
+    row = F.col("row")
+    some = some.withColumn("new", _replaced(row[text_col].cast("string"), F.col("spans"), F.col("entities")))
 
     def changed(c):
         if c == text_col:
-            return F.col(p + "new.text").alias(c)
+            return F.col("new").alias(c)
         if c == "n_chars":
-            return F.char_length(p + "new.text").cast(docs.schema[c].dataType).alias(c)
-        return F.col(c)
-    none = docs.where(~F.coalesce(has_mention(text), F.lit(False)))
+            return F.char_length("new").cast(docs.schema[c].dataType).alias(c)
+        return row[c].alias(c)
     extra = [] if count_col is None else [count_col]
-    return none.select("*", *[F.lit(0).cast("long").alias(c) for c in extra]).unionAll(
-        some.select(*[changed(c) for c in docs.columns], *[F.col(p + "new.n").alias(c) for c in extra]))
+    return none.select(*[quoted(c) for c in docs.columns], *[F.lit(0).cast("long").alias(c) for c in extra]).unionAll(
+        some.select(*[changed(c) for c in docs.columns], *[F.size("spans").cast("long").alias(c) for c in extra]))
 
 
-def surrogate_table(docs: DataFrame) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets for surrogates."""
+    return spark.conf.get(KEY_SETTING, TRIAL_KEY)
+
+
+def surrogate_table(docs: DataFrame, key: str) -> DataFrame:
     """One row per document: the new text and how many mentions it had."""
-    return surrogate_texts(docs.select("doc_id", "text"), count_col="n_mentions")
+    return surrogate_texts(docs.select("doc_id", "text"), key, count_col="n_mentions")

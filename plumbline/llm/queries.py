@@ -28,7 +28,7 @@ def op4_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_surrogates(spark: SparkSession, folder: str) -> DataFrame:
-    return private.surrogate_table(read(spark, folder, "documents"))
+    return private.surrogate_table(read(spark, folder, "documents"), private.session_key(spark))
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

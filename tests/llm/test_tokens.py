@@ -26,8 +26,8 @@ def test_surrogate_texts(spark):
     rows = [(1, letter), (2, "again a.b@mail.com at 8.8.4.4"), (3, clean), (4, None), (5, ""), (2, "again a.b@mail.com at 8.8.4.4"),
             (None, "8.8.4.4"), (6, "x " * 50_000 + "8.8.4.4")]
     df = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows], "doc_id long, text string, n_chars long") \
-        .withColumns({"digest": F.lit("d"), "kind": F.lit(1), "_qnew": F.lit(2)})
-    out = private.surrogate_texts(df)
+        .withColumns({"digest": F.lit("d"), "kind": F.lit(1), "_qnew": F.lit(2), "_part": F.lit(3), "a.b": F.lit(4)})
+    out = private.surrogate_texts(df, "k")
     assert out.dtypes == df.dtypes
     got = defaultdict(list)
     for r in out.collect():
@@ -48,7 +48,7 @@ def test_surrogate_texts(spark):
     assert re.search(r"192\.168\.\d+\.\d+", new)
     cards = re.findall(r"\b\d{4} \d{4} \d{4} \d{4}\b|\b\d{16}\b", new.partition("card ")[2])
     assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1] and private.luhn(cards[1])
-    assert private.surrogate_texts(df.limit(0)).count() == 0
+    assert private.surrogate_texts(df.limit(0), "k").count() == 0
 
 
 def test_surrogates_are_distinct_and_not_real(spark):
@@ -60,9 +60,47 @@ def test_surrogates_are_distinct_and_not_real(spark):
     assert len(got) == len(set(values)) == len(set(names)) and not set(names) & set(values)
 
 
+def test_surrogates_by_brute_force(spark):
+    hosts = [f"192.168.{i % 7}.{i}" for i in range(1, 90)]
+    rows = [(i, f"{hosts[i % 89]} met {hosts[i * i % 89]} and U{i % 50}@x{i % 9}.org, card 4111111111111111") for i in range(300)] * 2
+    got = private.surrogate_texts(spark.createDataFrame(rows, "doc_id long, text string"), "k", count_col="n").collect()
+    spans = {i: private.find(t) for i, t in rows}
+    entities = {(kind, value) for found in spans.values() for *_, kind, value in found}
+    table, attempt = {e: private.draw(*e, 0, "k") for e in entities}, dict.fromkeys(entities, 0)
+    while True:
+        owner = {}
+        for kind, value in sorted(entities):
+            owner.setdefault((kind, table[kind, value]), value)
+        again = [e for e in entities if (e[0], table[e]) in entities or owner[e[0], table[e]] != e[1]]
+        if not again:
+            break
+        for e in again:
+            attempt[e] += 1
+            table[e] = private.draw(*e, attempt[e], "k")
+    want = Counter()
+    for i, t in rows:
+        parts, last = [], 0
+        for start, end, kind, value in spans[i]:
+            parts += [t[last:start], private.render(kind, t[start:end], table[kind, value])]
+            last = end
+        want[i, "".join([*parts, t[last:]]), len(spans[i])] += 1
+    assert Counter((r.doc_id, r.text, r.n) for r in got) == want
+
+
+def test_full_surrogate_space(spark, monkeypatch):
+    values = spark.range(800).selectExpr("'ip' as kind", "concat('192.168.', 1 + id div 200, '.', 1 + id % 200) as value")
+    few = lambda kind, value, attempt, key, gender="n": f"192.168.1.{attempt}"
+    monkeypatch.setattr(private, "draw", few)
+    with pytest.raises(ValueError, match="800 of kind ip|no free surrogate"):
+        private.assign(values, "k", most_attempts=3)
+    monkeypatch.undo()
+    wide = {private.draw("ip", "192.168.1.1", private._WIDER + i, "k").partition(".")[0] for i in range(5)}
+    assert wide == {"10"} and private.draw("ip", "192.168.1.1", 0, "k").startswith("192.168.")
+
+
 def test_names_are_one_entity_in_every_document(spark):
     rows = [(1, "Mrs Anna Smith"), (2, "Dr Anna Smith"), (3, "My name is Anna Smith"), (4, "Dr Smith")]
-    got = {r.doc_id: r.text for r in private.surrogate_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in private.surrogate_texts(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     given, family = got[1].removeprefix("Mrs ").split()
     assert given.endswith("a") and got[2] == f"Dr {given} {family}" and got[3] == f"My name is {given} {family}" and got[4] == f"Dr {family}"
     taken = private.draw("name_l", "Smith", 0, "k")
