@@ -6,7 +6,9 @@ windows, whose number is bounded.
 """
 
 import os
+import sys
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -31,42 +33,69 @@ class WordEncoder:
     The vocabulary drops white space and never joins across it, so the ids of a
     text are those of its pieces between white space, one after the other.  A
     piece of Latin letters and ASCII is cut further, as the vocabulary's own
-    pattern cuts it; other pieces are encoded whole.
+    pattern cuts it, and its parts go to the vocabulary's model; other pieces are
+    encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [t.encode().split() if t else [] for t in texts]
-        self.learn({w for ws in words for w in ws})
+    def __call__(self, texts: list[str | bytes | None]) -> list[bytes]:
+        words = [(t if isinstance(t, bytes) else t.encode()).split() if t else [] for t in texts]
+        self.learn(set().union(*words))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > _CACHED_WORDS:
             self.known.clear()
             new = words
         if len(self.parts) > _CACHED_WORDS // 2:
             self.parts.clear()
-        cut = {w: _cut(w.decode()) for w in new}
-        parts = [p for p in {p for ps in cut.values() for p in ps} if p not in self.parts]
-        for at in range(0, len(parts), 5000):
-            chosen = parts[at:at + 5000]
-            found = self.tokenizer.encode_batch_fast(chosen, add_special_tokens=False)
-            self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(chosen, found, strict=True))
+        cut, whole = {}, {}
+        for w in new:
+            ps = _cut(w.decode())
+            if ps is None:
+                whole[w] = w.decode()
+            else:
+                cut[w] = ps
+        # parts are normalised and cut already, so the vocabulary's model alone is asked
+        tokenize = self.tokenizer.model.tokenize
+        for p in {p for ps in cut.values() for p in ps}.difference(self.parts):
+            spelled = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_NAMES)
+            self.parts[p] = array("I", [token.id for token in tokenize(spelled)]).tobytes()
         get = self.parts.__getitem__
-        self.known.update((w, b"".join(map(get, ps))) for w, ps in cut.items())
+        self.known.update((w, b"".join(map(get, ps)) if len(ps) != 1 else get(ps[0])) for w, ps in cut.items())
+        found = self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)
+        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(whole, found, strict=True))
 
 
-def _cut(word: str) -> list[str]:
-    if "<|" in word or max(word) > "\u024f":
-        return [word]
+def _byte_names() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: visible ones as themselves, others from U+0100 on."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
+def _cut(word: str) -> list[str] | None:
+    """The normalised parts that the vocabulary's pattern makes of a word; None where the word is left to it."""
+    if word.isascii():
+        if word.isalpha():
+            return [word.lower()]
+        if "<|" in word or not word.isprintable():
+            return None
+        return _PARTS.findall(word.lower())
+    if "<|" in word or "\u0130" in word or max(word) > "\u024f":     # U+0130 has no single lower-case letter
+        return None
     return _PARTS.findall(unicodedata.normalize("NFC", word).lower())
 
 
@@ -202,7 +231,7 @@ def _pack(path: str, window: int, end: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
                     ids += tail
                     packer.add((doc, len(ids) // 4), ids)
                 yield out()
@@ -217,7 +246,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     A document is its token ids and the id ``end``; a null or empty text is that
     id alone.  Every id lies in exactly one piece.  Sequences hold ``window`` ids
-    or a power of two.  ``sequence_id`` holds the task and a running number.
+    or a power of two.  ``sequence_id`` holds the task and a running number.  A task
+    keeps at most ``OPEN_WINDOWS`` open windows; beyond that the emptiest are cut up
+    to fill the fullest, with nothing lost.  Texts of any length are packed whole.
+    Other columns are left out, whatever their names.
     Repeated rows are packed each on their own; an empty table gives no pieces.
     """
     if vocabulary is None:
