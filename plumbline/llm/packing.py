@@ -68,7 +68,7 @@ class WordEncoder:
         # parts are normalised and cut already, so the vocabulary's model alone is asked
         tokenize = self.tokenizer.model.tokenize
         for p in {p for ps in cut.values() for p in ps}.difference(self.parts):
-            spelled = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_NAMES)
+            spelled = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_NAMES)
             self.parts[p] = array("I", [token.id for token in tokenize(spelled)]).tobytes()
         get = self.parts.__getitem__
         self.known.update((w, b"".join(map(get, ps)) if len(ps) != 1 else get(ps[0])) for w, ps in cut.items())
@@ -91,7 +91,7 @@ def _cut(word: str) -> list[str] | None:
     if word.isascii():
         if word.isalpha():
             return [word.lower()]
-        if "<|" in word or not word.isprintable():
+        if "<|" in word:
             return None
         return _PARTS.findall(word.lower())
     if "<|" in word or "\u0130" in word or max(word) > "\u024f":     # U+0130 has no single lower-case letter

@@ -122,6 +122,17 @@ def test_mentions_in_every_form(text, gone):
     assert not private.find("at 12:30:45 in a::b::c and 2020 1111 2222 3333")
 
 
+def test_word_ids_of_any_characters():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    rng, plain = random.Random(1), Tokenizer.from_file(path)
+    kinds = [lambda: rng.randrange(1, 128), lambda: rng.randrange(128, 0x250), lambda: rng.randrange(0x300, 0x370),
+             lambda: rng.randrange(0x370, 0x3000), lambda: rng.choice([0x130, 0xAD, 0x15, 0x20, 0x41])]
+    texts = ["".join(chr(rng.choice(kinds)()) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    got = packing.WordEncoder(path)([*texts, None, ""])
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert got == [*want, b"", b""]
+
+
 def test_packing(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["don't", "Été", "été", "naïve", "b́", "x\x1cy", "日本", "<|endoftext|>z", "I'S", "ΣΑΣ", "12", "..."])
