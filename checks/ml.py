@@ -230,6 +230,15 @@ def k18_summary(t):
     return us.anomaly_summary(us.isolation_scores(scaled, columns, [ft.ROW]))
 
 
+@query("k18_score_distribution", """
+WITH s AS (SELECT l_extendedprice / 120000.0 - 0.4 AS score FROM lineitem),
+  k AS (SELECT greatest(0, least(49, floor((score + 0.5) * 50)))::INT AS bin, count(*) AS n FROM s WHERE score IS NOT NULL GROUP BY 1)
+SELECT b.bin::INT AS bin, b.bin / 50.0 - 0.5 AS bin_start, coalesce(n, 0) AS n FROM range(50) b(bin) LEFT JOIN k ON k.bin = b.bin""")
+def k18_distribution(t):
+    """Parts of given scores."""
+    return us.score_distribution(t("lineitem").select((F.col("l_extendedprice") / 120000.0 - 0.4).alias("score")))
+
+
 @query("k19_clustering_diagnostics")
 def k19(t):
     scaled, columns = us.unlabeled_features(Profile(t("orders_labeled")))

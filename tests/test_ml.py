@@ -229,3 +229,12 @@ def test_a_failing_section_is_recorded(spark):
     r.add("good", lambda: spark.range(1))
     r.add("none", lambda: None)
     assert {x["section"]: x["status"] for x in r.status.collect()} == {"bad": "error", "good": "ok", "none": "skipped"}
+
+
+def test_score_distribution(spark):
+    scores = [-0.5, -0.31, -0.31, 0.0, 0.49, 0.5, 0.7, -0.9, None, float("nan")]
+    got = us.score_distribution(spark.createDataFrame([(x,) for x in scores], "score double"), 10).orderBy("bin").collect()
+    assert [r["n"] for r in got] == [2, 2, 0, 0, 0, 1, 0, 0, 0, 3]
+    assert [r["bin_start"] for r in got] == pytest.approx([i / 10 - 0.5 for i in range(10)])
+    none = us.score_distribution(spark.createDataFrame([], "score double"), 10)
+    assert none.count() == 10 and none.agg(F.sum("n")).first()[0] == 0
