@@ -273,7 +273,7 @@ def _encoded(path: str, k: int):
             at = 0
             while at < len(texts):      # some megabytes of text at a time
                 size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to] or "") <= 8_000_000):
+                while to < len(texts) and (to == at or size + len(texts[to] or "") <= 2_000_000):
                     size += len(texts[to] or "")
                     to += 1
                 units = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[at:to]]
