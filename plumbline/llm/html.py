@@ -24,11 +24,12 @@ _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 # Elements by their role in HTML.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title xmp iframe noembed noframes".split())
-_SKIP = set("head nav footer aside form noscript template object svg math button select menu dialog canvas audio video "
+_SKIP = set("head nav footer aside noscript template object svg math button select menu dialog canvas audio video "
             "script style textarea title xmp iframe noembed noframes datalist map".split())
-_CONTAINER = set("html body main article section div td th center blockquote figure header details fieldset".split())
+_CONTAINER = set("html body main article section div td th center blockquote figure header details fieldset form".split())
 _BLOCK = _CONTAINER | _SKIP - {"svg", "math", "button", "select", "map"} | set(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption pre address hr figcaption summary hgroup".split())
+_LANDMARK = set("article main h1 nav header footer aside".split())       # what no form for input holds
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}}
@@ -44,6 +45,14 @@ _TOP = set("header".split())
 _MAIN = set("content main article post body entry story text page wrapper container layout".split())
 _ARTICLE = set("content main article post entry story".split())
 _WITH = {"with", "has", "no", "without"}
+# Names that also stand for a topic (related-work, share-price, search-term): with a word that is
+# neither a name above nor a kind of box they say nothing about text inside an article.
+_TOPIC = set("related recommended recommendations share sharing social search form notice notices alert banner menu respond "
+             "reply replies skip sponsor sponsored promotion subscription signup widget widgets pager toolbar topbar".split())
+_BOX = set("a area article articles bar block body bottom box btn button buttons card cards col column container content count "
+           "entry group header heading holder icon icons inline inner item items left link links list main media news outer panel "
+           "post posts products read reads right row rows section slot stories text title tools top unit videos wrap wrapper".split())
+_PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote figcaption".split())
 
 
 class Page:
@@ -53,6 +62,7 @@ class Page:
         self.parent: list[int] = [-1]
         self.label: list[str] = [""]
         self.tag: list[str] = ["#"]
+        self.landmarks: set[int] = set()      # forms that hold elements of a page's frame
         self.blocks: list[tuple[int, str, int, bool]] = []   # container, text, characters in links, heading
 
 
@@ -60,8 +70,25 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(source)}
 
 
-def _is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> str:
-    """"" for text, "all" for what is left out, "top" where only headings stay."""
+def _named(attrs: dict[str, str], in_article: bool, in_prose: bool) -> set[str]:
+    """Words of class, id and role that mark what is not the article."""
+    out: set[str] = set()
+    for name in " ".join(attrs.get(a, "") for a in ("class", "id", "role")).split():
+        words = {w.lower() for w in _TOKENS.findall(name)}
+        bad = words & _NOT_TEXT
+        plain = {w for w in words - bad - _BOX if len(w) > 2 and not w.isdigit()}
+        if bad <= _TOPIC and (in_prose or in_article and plain):
+            continue
+        out |= bad
+    return out
+
+
+def _is_furniture(tag: str, attrs: dict[str, str], in_article: bool, in_prose: bool) -> str:
+    """"" for text, "all" for what is left out, "top" where only headings stay.
+
+    A name that is also a topic counts neither for an element within a sentence
+    nor, beside a word of its own, inside an article.
+    """
     if tag in _SKIP or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return "all"
     style = attrs.get("style", "").replace(" ", "").lower()
@@ -70,8 +97,11 @@ def _is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> str:
     if tag in ("html", "body", "main", "article"):
         return ""
     words = {w.lower() for a in ("class", "id", "role") for w in _TOKENS.findall(attrs.get(a, ""))}
-    if words & _NOT_TEXT and not words & _WITH:
-        weak = words & _NOT_TEXT <= {"sidebar", "banner", "notice", "widget", "form", "search", "nav", "menu"}
+    bad = _named(attrs, in_article, in_prose)
+    if tag == "form":       # whether it is one for input shows when the page is read
+        bad -= {"form", "search"}
+    if bad and not words & _WITH:
+        weak = bad <= {"sidebar", "banner", "notice", "widget", "form", "search", "nav", "menu"}
         if not (weak and words & _MAIN):
             return "all"
     if tag == "header" or words & _TOP:
@@ -80,12 +110,12 @@ def _is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> str:
 
 
 @lru_cache(maxsize=20_000)
-def _element(tag: str, source: str, in_article: bool) -> tuple[str, str, bool]:
+def _element(tag: str, source: str, in_article: bool, in_prose: bool) -> tuple[str, str, bool]:
     """What is left out below an element, its label, and whether it is part of an article."""
     attrs = _attributes(source) if source else {}
     words = {w.lower() for a in ("class", "id", "role") for w in _TOKENS.findall(attrs.get(a, ""))}
     inside = in_article or tag in ("article", "main") or bool(words & _ARTICLE)
-    return _is_furniture(tag, attrs, in_article), _label(tag, attrs), inside
+    return _is_furniture(tag, attrs, in_article, in_prose), _label(tag, attrs), inside
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
@@ -99,7 +129,12 @@ def _label(tag: str, attrs: dict[str, str]) -> str:
 
 
 def parse(source: str) -> Page:
-    """Blocks and containers of any HTML, well formed or not."""
+    """Blocks and containers of any HTML, well formed or not.
+
+    A form is left out with all that is in it, unless it is wrapped around the
+    page: then it holds an article, a main heading or parts of the page's frame,
+    or more prose than lies outside of it.
+    """
     page = Page()
     stack: list[tuple[str, int, str, bool]] = [("#", 0, "", False)]   # tag, container, what is left out, in an article
     pieces: list[str] = []
@@ -175,19 +210,41 @@ def parse(source: str) -> Page:
             at = stop.end() if stop else size
             continue
         _, container, skip, in_article = stack[-1]
+        if tag in _LANDMARK:
+            above = container
+            while above >= 0:
+                if page.tag[above] == "form":
+                    page.landmarks.add(above)
+                above = page.parent[above]
         if skip != "all":
-            own, label, in_article = _element(tag, m["attrs"] or m["attrs2"] or "", in_article)
+            in_prose = tag not in _BLOCK and any(s[0] in _PROSE for s in stack)
+            own, label, in_article = _element(tag, m["attrs"] or m["attrs2"] or "", in_article, in_prose)
             skip = own or skip
+            if tag in ("label", "legend") and any(s[0] == "form" for s in stack):
+                skip = "all"
             if tag in _CONTAINER and skip != "all":
                 page.parent.append(container)
                 above = page.label[container]
-                # html and body may be left out of a page, and are left out of paths
-                page.label.append(above if tag in ("html", "body") else f"{above}>{label}" if above else label)
+                # html and body may be left out of a page, and are left out of paths, as forms are
+                page.label.append(above if tag in ("html", "body", "form") else f"{above}>{label}" if above else label)
                 page.tag.append(tag)
                 container = len(page.parent) - 1
         in_link += tag == "a"
         stack.append((tag, container, skip, in_article))
     flush()
+    return _without_forms(page)
+
+
+def _without_forms(page: Page) -> Page:
+    """The page without the blocks of forms for input."""
+    forms = [i for i, tag in enumerate(page.tag) if tag == "form" and i not in page.landmarks]
+    if forms:
+        prose = sum(len(b[1]) for b in page.blocks)
+        for form in forms:
+            inside = [b for b in page.blocks if _inside(page, b[0], {form})]
+            if 2 * sum(len(b[1]) for b in inside if len(b[1]) >= 80 and 2 * b[2] <= len(b[1])) <= prose:
+                gone = {id(b) for b in inside}
+                page.blocks = [b for b in page.blocks if id(b) not in gone]
     return page
 
 
@@ -259,6 +316,31 @@ def _widened(page: Page, container: int) -> int:
     return out
 
 
+def _lead(page: Page, chosen: set[int]) -> set[int]:
+    """Numbers of the blocks before an article, in the main element around it, when its headline is among them."""
+    out: set[int] = set()
+    for article in (i for i in chosen if page.tag[i] == "article"):
+        own = [k for k, b in enumerate(page.blocks) if _inside(page, b[0], {article})]
+        around, at = [], page.parent[article]
+        while at >= 0 and page.tag[at] != "main":
+            around.append(at)
+            at = page.parent[at]
+        if at < 0 or not own or sum(t == "article" for t in page.tag) > 1 or any(page.blocks[k][3] for k in own[:1]):
+            continue
+        around = {at, *around}
+        around |= {i for i, tag in enumerate(page.tag) if tag == "header" and page.parent[i] in around}
+        first = [k for k, b in enumerate(page.blocks[:own[0]]) if b[0] in around]
+        if any(page.blocks[k][3] for k in first) and 2 * sum(page.blocks[k][2] for k in first) <= sum(
+                len(page.blocks[k][1]) for k in first):
+            out |= set(first)
+    return out
+
+
+def _text_of(page: Page, chosen: set[int]) -> list[str]:
+    lead = _lead(page, chosen)
+    return [b[1] for k, b in enumerate(page.blocks) if k in lead or _inside(page, b[0], chosen)]
+
+
 def extract(source: str | None, path: str | None = None) -> str:
     """The blocks inside the containers of a path, or of the page's own best container, widened to the whole article."""
     if not source:
@@ -267,12 +349,12 @@ def extract(source: str | None, path: str | None = None) -> str:
     if not page.blocks:
         return ""
     chosen = {_widened(page, i) for i, label in enumerate(page.label) if label == path} if path else set()
-    out = [b[1] for b in page.blocks if _inside(page, b[0], chosen)] if chosen else []
+    out = _text_of(page, chosen) if chosen else []
     if not out:
         ranked = best(page)
         own = page.label[ranked[0][1]] if ranked else None
         chosen = {_widened(page, i) for i, label in enumerate(page.label) if label == own} if own else {0}
-        out = [b[1] for b in page.blocks if _inside(page, b[0], chosen)]
+        out = _text_of(page, chosen)
     return " ".join(out)
 
 

@@ -105,6 +105,29 @@ def test_extract_templates(spark):
     assert html.page_table(df.limit(0)).count() == 0
 
 
+def test_extract_keeps_text_of_forms_and_topics():
+    body = "<p>" + "prose of the article, told at length. " * 5 + "</p>"
+    want = ("prose of the article, told at length. " * 5).strip()
+    ask = "<form><label>Mail</label><p>Write to us today</p><input><button>Send</button></form>"
+    # a form around the page, by its frame or by its prose; forms for input beside it
+    assert html.extract(f'<form id="aspnetForm"><header>Site</header><div class=post>{body}</div>{ask}<footer>(c)</footer></form>') \
+        .startswith(want)
+    assert html.extract(f"<form><label>Go</label><div><h2>Head</h2>{body}</div></form><div>{ask}</div>") == "Head " + want
+    assert html.extract(f"<article>{body}{ask}</article>") == want
+    assert html.extract(f'<article>{body}<form class="comment-form"><h1>Reply</h1>{body}</form></article>') == want
+    # names that are topics
+    assert html.extract(f'<article>{body}<section class="related-work"><p>Others did so.</p></section></article>') == want + " Others did so."
+    assert html.extract(f'<article>{body}<p class="share-price">It rose.</p></article>') == want + " It rose."
+    assert html.extract(f'<article>{body}<p>The <span class="search-term">term</span> <i class=ad>Buy</i>counts.</p></article>') \
+        == want + " The term counts."
+    for name in ("related-posts", "share-buttons", "search-form", "social", "newsletter-daily", "ad-mpu"):
+        assert html.extract(f'<article>{body}<div class="{name}"><p>Other things.</p></div></article>') == want, name
+    # headline and lede in front of an article
+    assert html.extract(f"<main><h1>Head</h1><p>Lede</p><article>{body}</article><p>More like it</p></main>") == "Head Lede " + want
+    assert html.extract(f"<main><p>Kicker</p><article>{body}</article></main>") == want
+    assert html.extract(f"<main><h1>Latest</h1><article>{body}</article><article><p>short</p></article></main>").startswith("prose")
+
+
 def test_extract_widens_to_the_article():
     long = "<p>" + "prose of the article " * 200 + "</p>"
     words = " ".join("prose of the article " * 200 for _ in "x").split()
