@@ -16,7 +16,9 @@ CRLF = "\r\n"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 RECORD = ("record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
-          "headers map<string,string>, payload_bytes long, payload_digest string, block binary")
+          "headers array<struct<name:string,value:string>>, payload_bytes long, payload_digest string, block binary")
+KEY = ["page_id", "url", "sha1"]
+COPIES_A_TASK = 1000      # records that one row unfolds to at a time
 
 
 @F.pandas_udf(T.StringType())
@@ -32,29 +34,47 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(CRLF, F.lit("WARC/1.0"), *lines, length), F.lit(CRLF * 2), block)
 
 
+def _numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``(page_id, url, html, sha1, copy)``: rows with a number among equal ones; ``repeated`` counts these."""
+    counts = repeated.select(*[F.col(c).alias("k_" + c) for c in KEY], "copies")
+    same = [F.col(c).eqNullSafe(F.col("k_" + c)) for c in KEY]
+    alone = rows.join(counts, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    equal = rows.join(counts, same).groupBy(*KEY).agg(F.first("html").alias("html"), F.first("copies").alias("copies"))
+    part = equal.select(*KEY, "html", "copies", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES_A_TASK).cast("long"))).alias("start"))
+    part = part.repartition("sha1", "start").select(*KEY, "html", F.explode(F.sequence(
+        F.col("start"), F.least(F.col("start") + COPIES_A_TASK, F.col("copies")) - 1)).alias("copy"))
+    return alone.unionByName(part)
+
+
 def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> None:
     """Write a request, a response or revisit, and a metadata record per row of ``(page_id, url, html)``.
 
     Of rows with one payload of at least ``least`` bytes the one with the largest
     page_id (an absent one being the smallest; among equals the largest url) is
     the response, and the others revisit it.  A null html is an empty payload, a
-    null url leaves its header out.  Identifiers follow from page_id, url and
-    payload, so rows equal in all three are one capture.  Spark's text sink writes the
+    null url leaves its header out.  Identifiers follow from page_id, url,
+    payload and a number among rows equal in all three, so every row is a capture
+    of its own; of equal rows the first is the response.  Rows without an equal
+    one are not shuffled for that; equal ones are counted, reduced to one, and
+    unfolded again in parts that many tasks share.  Spark's text sink writes the
     archives, compressed, with the two line ends after a record as its line
-    separator; the commit of its tasks covers lost executors.
+    separator; the commit of its tasks covers lost executors.  An empty table
+    writes archives without records; other columns are left aside.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"),
                         F.sha1(html.cast("binary")).alias("sha1"))
-    first = rows.where(F.octet_length("html") >= least).groupBy("sha1").agg(
-        F.max(F.struct("page_id", "url")).alias("first"), F.min(F.struct("page_id", "url")).alias("last")) \
-        .where("first != last").select("sha1", "first")
-    rows = rows.join(first, "sha1", "left").withColumn(
-        "again", F.col("first").isNotNull() & (F.col("first") != F.struct("page_id", "url")))
+    groups = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max(F.octet_length("html")).alias("bytes"))
+    first = groups.where(F.col("bytes") >= least).groupBy("sha1").agg(
+        F.max(F.struct("page_id", "url")).alias("first"), F.sum("copies").alias("n")).where("n > 1").select("sha1", "first")
+    rows = _numbered(rows, groups.where("copies > 1")).join(first, "sha1", "left").withColumn("again", F.col("first").isNotNull() & (
+        (F.col("first") != F.struct("page_id", "url")) | (F.col("copy") > 0)))
 
-    def record_id(kind, page_id="page_id", url="url"):
+    def record_id(kind, page_id="page_id", url="url", copy="copy"):
         h = F.md5(F.concat_ws(":", F.lit(kind), F.coalesce(F.col(page_id).cast("string"), F.lit("-")),
-                              F.coalesce(F.col(url), F.lit("-")), F.col("sha1"), F.lit(date)))
+                              F.coalesce(F.concat(F.lit("+"), F.col(url)), F.lit("-")), F.col("sha1"), F.lit(date),
+                              F.col(copy).cast("string") if isinstance(copy, str) else copy))
         return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in (
             (1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
     own, digest = record_id("response"), F.concat(F.lit("sha1:"), _base32("sha1"))
@@ -69,7 +89,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = DATE) ->
                        ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
     response = _record([("WARC-Type", F.when(F.col("again"), "revisit").otherwise("response")), ("WARC-Record-ID", own),
                         *common, ("WARC-Payload-Digest", digest),
-                        ("WARC-Refers-To", F.when(F.col("again"), record_id("response", "first.page_id", "first.url"))),
+                        ("WARC-Refers-To", F.when(F.col("again"), record_id("response", "first.page_id", "first.url", F.lit("0")))),
                         ("WARC-Profile", F.when(F.col("again"), SAME_PAYLOAD)),
                         ("Content-Type", F.lit("application/http; msgtype=response"))],
                        F.when(F.col("again"), head).otherwise(F.concat(head, F.col("html"))))
@@ -83,11 +103,14 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = DATE) ->
 class _Parser:
     """Records of one archive from its lines, which came apart at CR LF.
 
-    Content-Length decides where a block ends, so a block may hold anything.
+    Content-Length decides where a block ends, so a block may hold anything.  A
+    length that is no number counts as none; such a record has an empty block, and
+    reading goes on at the next line that begins one.  Headers keep their order,
+    repeated ones too.
     """
 
     def __init__(self):
-        self.headers: dict[str, str] | None = None
+        self.headers: list[tuple[str, str]] | None = None
         self.block: list[bytes] | None = None
         self.room = 0
 
@@ -99,25 +122,29 @@ class _Parser:
             return self.done() if self.room <= 0 else None
         if self.headers is None:
             if line.startswith(b"WARC/1."):
-                self.headers = {}
+                self.headers = []
         elif line:
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            self.headers[name.strip().lower()] = value.strip()
+            self.headers.append((name.strip().lower(), value.strip()))
         else:
-            self.block, self.room = [], int(self.headers.get("content-length") or 0)
+            self.block, self.room = [], self.length()
             return self.done() if self.room == 0 else None
         return None
 
+    def length(self) -> int:
+        value = next((v for k, v in self.headers if k == "content-length"), "")
+        return int(value) if value.isascii() and value.isdigit() else 0
+
     def done(self):
         block = b"\r\n".join(self.block)
-        size = int(self.headers.get("content-length") or 0)
-        record = (self.headers, block[:size])
+        record = (self.headers, block[:self.length()])
         self.headers = self.block = None
         return record
 
 
 def _records(keep_block: bool):
-    def row(headers, block):
+    def row(pairs, block):
+        headers = dict(reversed(pairs))       # the first of a name; all of them in the column headers
         kind = headers.get("warc-type")
         payload = block
         if headers.get("content-type", "").startswith("application/http"):
@@ -126,11 +153,11 @@ def _records(keep_block: bool):
         if kind != "revisit":
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
         return (headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to"),
-                headers.get("warc-target-uri"), headers.get("warc-date"), list(headers.items()),
+                headers.get("warc-target-uri"), headers.get("warc-date"), [{"name": k, "value": v} for k, v in pairs],
                 None if kind == "revisit" else len(payload), digest,
                 block if keep_block or kind not in ("response", "revisit") else None)
 
-    kinds = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string()] * 6 + [pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.int64(), pa.string(), pa.binary()]
     names = [f.split()[0] for f in RECORD.split(", ")]
 
     def batch_of(rows):
@@ -166,24 +193,33 @@ def read_warc(spark: SparkSession, path: str, keep_block: bool = True) -> DataFr
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: its response or revisit, request and metadata records.
-
-    Request and metadata records name the response they are concurrent to, and
-    that identifier is the capture; a record that names none is its own.  Records
-    may lie in any archive and order; an absent part is null.
+    """One nested row per capture: its response or revisit, and lists of its request, metadata and other records.
+
+    A record joins every capture that one of its concurrent-to headers names; a
+    response or revisit, and a record that names none, is a capture of its own.
+    Records may lie in any archive and order; an absent response is null, an
+    absent list empty.  Of several responses with one identifier the least record
+    is ``response``.  Lists are ordered, and hold repeated records as often as
+    they occur.
     """
-    whole = F.struct(*[c for c in records.columns])
-    keyed = records.select(F.coalesce("concurrent_to", "record_id").alias("capture_id"), whole.alias("r"))
-
-    def part(*kinds):
-        return F.first(F.when(F.col("r.type").isin(*kinds), F.col("r")), ignorenulls=True)
+    whole = F.struct(*[F.col(c) for c in records.columns])
+    own = F.col("type").isin("response", "revisit") & F.col("record_id").isNotNull()
+    named = F.array_distinct(F.transform(F.filter("headers", lambda h: h["name"] == "warc-concurrent-to"), lambda h: h["value"]))
+    keyed = records.select(F.explode(F.when(own | (F.size(named) == 0), F.array("record_id")).otherwise(named))
+                           .alias("capture_id"), whole.alias("r"))
+
+    def listed(test):
+        return F.sort_array(F.collect_list(F.when(test, F.col("r"))))
+    kind = F.coalesce(F.col("r.type"), F.lit(""))
+    answer = kind.isin("response", "revisit")
     return keyed.groupBy("capture_id").agg(
-        part("response", "revisit").alias("response"), part("request").alias("request"),
-        part("metadata").alias("metadata"))
+        F.min(F.when(answer, F.col("r"))).alias("response"), listed(kind == "request").alias("requests"),
+        listed(kind == "metadata").alias("metadata"),
+        listed(~answer & ~kind.isin("request", "metadata")).alias("others"))
 
 
 def archive_table(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the archives, read them back, and return one row per capture.
+    """Write the archives, read them back, and return one row per capture, that is per row of ``pages``.
 
     Payload size and digest come from the archived payload; a revisit takes them
     from the response that it refers to.
@@ -193,7 +229,7 @@ def archive_table(pages: DataFrame, path: str | None = None) -> DataFrame:
     write_warc(pages, path)
     seen = captures(read_warc(spark, path, keep_block=False)).select(
         "response.record_id", "response.type", "response.refers_to", "response.payload_bytes", "response.payload_digest",
-        F.regexp_extract(F.col("metadata.block").cast("string"), r"page-id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"))
+        F.regexp_extract(F.col("metadata")[0]["block"].cast("string"), r"page-id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"))
     first = seen.where("type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"),
         F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))

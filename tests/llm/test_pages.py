@@ -157,12 +157,13 @@ def test_archive(spark):
     payloads = [None, "", "x", tricky, "\r\n", "é" * 100, "l\n" * 5000, "y" * 300_000]
     rows = [(i, f"http://h.example/{i}\r\nEvil: 1" if i % 7 == 0 else f"http://h.example/{i}#f", rng.choice(payloads)) for i in range(60)]
     rows += [(None, None, "x"), (100, "u", "x"), (100, "u", "x"), (100, "t", "x"), (101, None, "only here")]
+    rows += [(None, None, "x"), (101, "-", "only here")] + [(102, "r", "again")] * 2500
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"row": F.lit(1), "sha1": F.lit("s")}).repartition(3)
     last = {}
     for i, _, h in rows:
         last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
     want, seen = Counter(), Counter()
-    rows = sorted(set(rows), key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""), reverse=True)
+    rows = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""), reverse=True)
     for i, _, h in rows:
         data = (h or "").encode()
         top = (-1 if i is None else i) == last[h or ""] and not seen[h or ""]
@@ -175,13 +176,31 @@ def test_archive(spark):
     warc.write_warc(df, path)
     one = warc.captures(warc.read_warc(spark, path)).collect()
     assert len(one) == len(rows)
-    assert all(c.request.type == "request" and c.metadata.concurrent_to == c.capture_id == c.response.record_id for c in one)
+    assert all(c.requests[0].type == "request" and len(c.requests) == len(c.metadata) == 1 and not c.others
+               and c.metadata[0].concurrent_to == c.capture_id == c.response.record_id for c in one)
     bodies = Counter(bytes(c.response.block).partition(b"\r\n\r\n")[2].decode() for c in one if c.response.type == "response")
     assert bodies == Counter({h or "": 1 for _, _, h in rows})
-    assert all("evil" not in c.response.headers for c in one)
+    assert all("evil" not in {h.name for h in c.response.headers} for c in one)
     assert warc.archive_table(df.limit(0)).count() == 0
 
 
+def test_captures_of_foreign_records(spark):
+    def record(kind, name, near=(), size=None, block=""):
+        lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", *[f"WARC-Concurrent-To: {n}" for n in near],
+                 f"Content-Length: {len(block) if size is None else size}"]
+        return "\r\n".join([*lines, "", block])
+    records = [record("response", "a", block="12345"), record("metadata", "m2", "a"), record("metadata", "m1", "a", block="x: y"),
+               record("request", "q", "ab"), record("response", "b", "q"), record("warcinfo", "i"), record("conversion", "c", "a"),
+               record("metadata", "odd", "b", size="many"), record("request", "lone"), record("metadata", "m1", "a", block="x: y")]
+    path = scratch_path(spark, "archive")
+    spark.createDataFrame([(r,) for r in records], "value string").repartition(3).write.text(
+        path, compression="gzip", lineSep=warc.CRLF * 2)
+    got = {c.capture_id: (c.response and c.response.record_id, *([r.record_id for r in x] for x in (c.requests, c.metadata, c.others)))
+           for c in warc.captures(warc.read_warc(spark, path)).collect()}
+    assert got == {"a": ("a", ["q"], ["m1", "m1", "m2"], ["c"]), "b": ("b", ["q"], ["odd"], []), "i": (None, [], [], ["i"]),
+                   "lone": (None, ["lone"], [], [])}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
