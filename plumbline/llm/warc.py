@@ -17,7 +17,6 @@ SAME_PAYLOAD = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest
 DATE = "2000-01-01T00:00:00Z"
 RECORD = ("record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
           "headers array<struct<name:string,value:string>>, payload_bytes long, payload_digest string, block binary")
-KEY = ["page_id", "url", "sha1"]
 COPIES_A_TASK = 1000      # records that one row unfolds to at a time
 
 
@@ -34,17 +33,30 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(CRLF, F.lit("WARC/1.0"), *lines, length), F.lit(CRLF * 2), block)
 
 
-def _numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``(page_id, url, html, sha1, copy)``: rows with a number among equal ones; ``repeated`` counts these."""
-    counts = repeated.select(*[F.col(c).alias("k_" + c) for c in KEY], "copies")
-    same = [F.col(c).eqNullSafe(F.col("k_" + c)) for c in KEY]
-    alone = rows.join(counts, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
-    equal = rows.join(counts, same).groupBy(*KEY).agg(F.first("html").alias("html"), F.first("copies").alias("copies"))
-    part = equal.select(*KEY, "html", "copies", F.explode(F.sequence(
+def _numbered(rows: DataFrame, least: int) -> DataFrame:
+    """``(page_id, url, html, sha1, copy, first)``: a number among equal rows, and the row that is the response, if others are equal.
+
+    Equal rows become one while they are read, so payloads are shuffled once.
+    """
+    rows = rows.withColumn("k", F.md5(F.concat_ws(
+        ":", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "sha1", F.coalesce(F.concat(F.lit("+"), F.col("url")), F.lit("-")))))
+
+    def one(*more):
+        return rows.groupBy("k").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "sha1")], F.count("*").alias("copies"), *more)
+    small = one(F.max(F.octet_length("html")).alias("bytes"))
+    first = small.where(F.col("bytes") >= least).groupBy("sha1").agg(
+        F.max(F.struct("page_id", "url")).alias("first"), F.sum("copies").alias("n")).where("n > 1").select("sha1", "first")
+    marks = small.join(first, "sha1").select("k", "first")
+    whole = one(F.first("html").alias("html")).join(marks, "k", "left").drop("k")
+    names = ["page_id", "url", "html", "sha1", "first"]
+
+    def unfold(df, start, stop):
+        return df.select(*names, F.explode(F.sequence(start, stop)).alias("copy"))
+    few = unfold(whole.where(F.col("copies") <= COPIES_A_TASK), F.lit(0).cast("long"), F.col("copies") - 1)
+    many = whole.where(F.col("copies") > COPIES_A_TASK).select(*names, "copies", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES_A_TASK).cast("long"))).alias("start"))
-    part = part.repartition("sha1", "start").select(*KEY, "html", F.explode(F.sequence(
-        F.col("start"), F.least(F.col("start") + COPIES_A_TASK, F.col("copies")) - 1)).alias("copy"))
-    return alone.unionByName(part)
+    return few.unionByName(unfold(many.repartition("sha1", "start"), F.col("start"),
+                                  F.least(F.col("start") + COPIES_A_TASK, F.col("copies")) - 1))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> None:
@@ -55,9 +67,8 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = DATE) ->
     the response, and the others revisit it.  A null html is an empty payload, a
     null url leaves its header out.  Identifiers follow from page_id, url,
     payload and a number among rows equal in all three, so every row is a capture
-    of its own; of equal rows the first is the response.  Rows without an equal
-    one are not shuffled for that; equal ones are counted, reduced to one, and
-    unfolded again in parts that many tasks share.  Spark's text sink writes the
+    of its own; of equal rows the first is the response.  Equal rows are counted,
+    reduced to one, and unfolded again, many of them in parts that tasks share.  Spark's text sink writes the
     archives, compressed, with the two line ends after a record as its line
     separator; the commit of its tasks covers lost executors.  An empty table
     writes archives without records; other columns are left aside.
@@ -65,10 +76,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = DATE) ->
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"),
                         F.sha1(html.cast("binary")).alias("sha1"))
-    groups = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max(F.octet_length("html")).alias("bytes"))
-    first = groups.where(F.col("bytes") >= least).groupBy("sha1").agg(
-        F.max(F.struct("page_id", "url")).alias("first"), F.sum("copies").alias("n")).where("n > 1").select("sha1", "first")
-    rows = _numbered(rows, groups.where("copies > 1")).join(first, "sha1", "left").withColumn("again", F.col("first").isNotNull() & (
+    rows = _numbered(rows, least).withColumn("again", F.col("first").isNotNull() & (
         (F.col("first") != F.struct("page_id", "url")) | (F.col("copy") > 0)))
 
     def record_id(kind, page_id="page_id", url="url", copy="copy"):
