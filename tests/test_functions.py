@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.skew import heavy_keys, split_join
 from plumbline.functions import ordered, quantiles
 from plumbline.functions.frequency import digest, distinct_counts
-from plumbline.functions.gram import pearson_pairs
+from plumbline.functions.gram import pair_sums, pearson_pairs
 from plumbline.functions.words import STRIP, tokens
 from plumbline.ml.features import duplicate_rows
+from plumbline.operators.missing import missing_cooccurrence
 from plumbline.operators.numeric import monotonic_increasing
 
 RNG = np.random.default_rng(5)
@@ -154,3 +155,36 @@ def test_heavy_keys_are_split_without_adaptive_execution(spark):
             spark.conf.unset(name)
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert heavy_keys(many, ["key"], rows_per_key=50_000) is None
+
+
+def test_gram_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    p = 130                     # three blocks, the last one narrow
+    x = rng.normal(size=(300, p))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    names = [f"c{k}" for k in range(p)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"{c} double" for c in names))
+    got = {(r.i, r.j): r for r in pair_sums(df.repartition(5), names, {}).collect()}
+    assert len(got) == p * (p + 1) // 2
+    m, z = ~np.isnan(x), np.nan_to_num(x)
+    for (i, j), r in got.items():
+        both = m[:, i] & m[:, j]
+        want = [both.sum(), z[both, i].sum(), z[both, j].sum(), (z[both, i] ** 2).sum(), (z[both, j] ** 2).sum(), (z[:, i] * z[:, j]).sum()]
+        assert np.allclose([r.n, r.sx, r.sy, r.sxx, r.syy, r.sxy], want), (i, j)
+
+
+def test_missing_cooccurrence_of_many_columns(spark):
+    rng = np.random.default_rng(6)
+    p = 500
+    null = rng.random((400, p)) < 0.3
+    null[:, 7] = null[:, 450]
+    null[:, 3] = False
+    names = [f"c{k}" for k in range(p)]
+    df = spark.createDataFrame([[None if v else 1 for v in r] for r in null.tolist()], ", ".join(f"{c} int" for c in names)).repartition(3)
+    got = {(r.col_a, r.col_b): r.value for r in missing_cooccurrence(df, names).collect()}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.corrcoef(null.T.astype(float))
+    want = {(names[i], names[j]): r[i, j] for i in range(p) for j in range(i + 1, p) if abs(r[i, j]) >= 0.134111}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert got["c7", "c450"] == pytest.approx(1.0)
+    assert missing_cooccurrence(df.limit(0), names[:3]).count() == 0
