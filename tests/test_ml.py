@@ -27,6 +27,16 @@ def test_folds_are_balanced_inside_a_hot_label(spark):
     assert folded.count() == 9000
 
 
+def test_folds_of_many_salts_differ_by_one_row(spark):
+    df = spark.range(20_000).select(F.col("id").alias(ft.ROW), F.when(F.col("id") % 5 < 3, "a").when(F.col("id") % 5 < 4, "b").alias("y"))
+    folded = ft.assign_folds(df, 3, "y", rows_per_group=700, n_rows=20_000)
+    counts = folded.fillna("null", "y").groupBy("y", "fold").count().toPandas().pivot(index="y", columns="fold", values="count")
+    assert counts.loc["a"].tolist() == [4000, 4000, 4000] and counts.loc["b"].tolist() == counts.loc["null"].tolist() == [1333, 1334, 1333]
+    assert folded.columns == [ft.ROW, "y", "fold"]
+    plain = ft.assign_folds(df, 3, None, rows_per_group=700, n_rows=20_000).groupBy("fold").count().toPandas()["count"]
+    assert sorted(plain) == [6666, 6667, 6667]
+
+
 def test_unseen_and_null_categories(spark):
     train = spark.createDataFrame([("b", 1.0), ("a", None), (None, 3.0)], "c string, x double")
     test = spark.createDataFrame([("z", None), ("a", 5.0), (None, 1.0)], "c string, x double")
