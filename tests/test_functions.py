@@ -42,6 +42,29 @@ def test_exact_quantiles_equal_numpy(mixed, settings):
             np.testing.assert_allclose(got[c], np.quantile(x, PROBS), rtol=1e-12)
 
 
+def test_quantiles_of_many_columns_take_two_passes(spark, monkeypatch):
+    """One sketch and one count for all columns and probabilities, whatever their number."""
+    calls = []
+    count = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda staged, plans, rows: (calls.append(len(plans)), count(staged, plans, rows)))
+    df = spark.range(20_000).select(*[F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(10 ** (i + 1))).cast("double").alias(f"c{i}") for i in range(6)])
+    probs = [i / 10 for i in range(11)]
+    got = quantiles.exact_quantiles(df, {c: F.col(c) for c in df.columns}, probs, 20_000, direct_cells=10, accuracy=1000)
+    pdf = df.toPandas()
+    for c in df.columns:
+        np.testing.assert_allclose(got[c], np.quantile(pdf[c], probs), rtol=1e-12)
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("finish_rows", [1, 1000])
+def test_quantiles_with_infinities_and_nan(spark, finish_rows):
+    x = np.concatenate([np.full(60, -np.inf), np.arange(100.0), np.full(70, np.inf), np.full(80, np.nan)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(3)
+    probs = [10 / 309, 100 / 309, 200 / 309, 300 / 309]       # ranks 10, 100, 200 and 300
+    got = quantiles._bracketed(df.select(F.col("x").alias("q0")), ["x"], [round(p * 309) / 309 for p in probs], 5, finish_rows)["x"]
+    assert got[1] == 40.0 and np.isnan(got[3])
+
+
 def hot_groups(spark, n=4000):
     key = np.where(RNG.random(n) < 0.5, "hot", RNG.integers(0, 50, n).astype(str))
     pdf = pd.DataFrame({"k": key, "o": RNG.permutation(n), "v": RNG.integers(1, 9, n)})
