@@ -5,6 +5,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from plumbline.ml import boosting
 from plumbline.ml import features as ft
 from plumbline.ml import readiness as rd
 from plumbline.ml import supervised as sv
@@ -155,6 +156,30 @@ def test_boosting_goes_on_like_one_fit(spark):
     assert sorted(r["prediction"] for r in grown.predictions().filter("_val").collect()) == pytest.approx(want)
 
 
+def test_a_round_is_one_job_a_level(spark):
+    df = spark.range(2000).select(F.rand(1).alias("x"), F.rand(2).alias("z"), (F.col("id") % 4 == 0).alias("_val"))
+    model = sv.Boosting(ft.with_vector(df.withColumn(sv.LABEL, F.sin(9 * F.col("x")) + F.col("z")), ["x", "z"]), "regression", 0)
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "rounds")
+    model.advance(6)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("rounds")) <= 6 * 5 + 6
+
+
+def test_sums_by_shuffle_and_in_slices_grow_the_same_trees(spark, monkeypatch):
+    df = spark.range(600).select((F.col("id") % 3).cast("double").alias(sv.LABEL), (F.rand(3) + F.col("id") % 3).alias("x"),
+                                 F.rand(4).alias("z"), (F.col("id") % 5 == 0).alias("_val"))
+    data, losses = ft.with_vector(df, ["x", "z"]).cache(), []
+    for size in (None, 1):
+        if size:
+            monkeypatch.setattr(boosting, "TASK_BYTES", size)
+            monkeypatch.setattr(boosting, "DRIVER_BYTES", size)
+        model = sv.Boosting(data, "classification", 3)
+        model.advance(2)
+        losses.append(model.train_losses + model.val_losses)
+    assert losses[0] == pytest.approx(losses[1])
+
+
 def repeated(spark):
     """200,000 rows of 400 distinct ones, the first of them a third of all."""
     return spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 400).cast("double").alias("a"))
