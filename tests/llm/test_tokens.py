@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -206,6 +207,20 @@ def test_segmentations_are_drawn_by_weight():
     assert len(all_of_it) == len(ways(unit)) and all(score == 1 for *_, score in all_of_it)
 
 
+def test_lattices_are_small_and_samples_do_not_depend_on_them(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list("abcdeiou"), 5)) for _ in range(5000)) for _ in range(30)]     # 900,000 characters
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts), pa.array(["x"] * 30)], ["a", "b", "c"])
+    made, build = [], segment.Lattice
+    monkeypatch.setattr(segment, "Lattice", lambda units, v: made.append(sum(map(len, units))) or build(units, v))
+    run, got = segment._encoded(segment._path(None), 1), []
+    for size in (None, 10_000_000):
+        if size:
+            monkeypatch.setattr(segment, "LATTICE_CHARS", size)
+        got.append([v for out in run([batch]) for v in out.column(3).to_pylist()])
+    assert len(made) == 3 and max(made[:2]) <= 520_000 and got[0] == got[1]
+
+
 def test_segmentations_spell_the_text(spark):
     rng = random.Random(6)
     texts = ["  two  spaces\nnl\t ", "日本 é😀 \x00", "▁odd ▁▁", "x" * 3000, " " * 500, "a", *(" ".join(
