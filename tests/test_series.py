@@ -220,3 +220,20 @@ def test_ranges_longer_than_one_array(spark):
     df = spark.createDataFrame([(0, 10_000)], "a bigint, b bigint")
     got = pr.explode_range(df, "a", "b", "i")
     assert got.count() == 10_001 and got.select("i").distinct().count() == 10_001
+
+
+def test_only_texts_that_a_format_could_fit_are_tried(spark):
+    texts = ["2024-02-03", "2024-02-03 04:05", "2024-02-03 04:05:06", "2024-02-03 04:05:06.000007", "2024-02-03T04:05:06",
+             "2024-02-03T04:05:06+01:00", "2024-02-03T04:05:06Z", "2024/02/03", "2024/02/03 04:05:06", "02/03/2024", "02/03/2024 04:05",
+             "02/03/2024 04:05:06", "03.02.2024", "03-Feb-2024", "Feb 3 2024", "3 feb 2024", "+12024-02-03", "-2024-02-03", "3 Feb 02024",
+             "Feb 0000000000000000003 2024", "A", "1-URGENT", "Customer#000012345", "2024", "24-02-03", "2024-13-03", " 2024-02-03",
+             "٢٠٢٤-٠٢-٠٣", "ſep 3 2024", "a 2024 " * 50, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    each = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in pr.FORMATS])
+    got = df.select("i", F.unix_micros(pr.parsed_time(df, "t")).alias("got"), F.unix_micros(each).alias("each")).orderBy("i").collect()
+    assert [r["got"] for r in got] == [r["each"] for r in got]
+    assert sum(r["got"] is not None for r in got) >= 16
+    # no time parser is called for the others
+    words = df.filter("i between 20 and 22")
+    tried = words.select(F.when(F.length("t") <= pr.LONGEST, F.col("t").rlike(pr.YEAR) & F.col("t").rlike(pr.SEPARATOR)).alias("x"))
+    assert not any(r["x"] for r in tried.collect())
