@@ -273,3 +273,53 @@ def test_score_distribution(spark):
     assert [r["bin_start"] for r in got] == pytest.approx([i / 10 - 0.5 for i in range(10)])
     none = us.score_distribution(spark.createDataFrame([], "score double"), 10)
     assert none.count() == 10 and none.agg(F.sum("n")).first()[0] == 0
+
+
+def test_chunks_walk_through_trees_like_single_rows():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    x[::17, 2] = np.nan
+    for seed in range(4):
+        tree = pd.DataFrame(us._grow(0, np.nan_to_num(x[:256]), np.random.default_rng(seed)), columns=us.NODE).sort_values("node")
+        rows, want = tree.to_dict("records"), []
+        for row in x:
+            at = rows[0]
+            while at["feature"] >= 0:
+                at = rows[at["left"] if row[at["feature"]] <= at["threshold"] else at["right"]]
+            want.append(at["length"])
+        assert us._depths(us._flat(tree), x.ravel(), np.arange(300) * 4).tolist() == want
+    lone = pd.DataFrame(us._grow(0, x[:1], rng), columns=us.NODE)
+    assert (us._depths(us._flat(lone), x.ravel(), np.arange(300) * 4) == lone["length"][0]).all()
+
+
+def test_row_ids_number_only_what_repeats(spark, monkeypatch):
+    values = [1, 2, 3, 3, 3, 4, 4, None, None, 5] * 3 + list(range(100, 150))
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(5)
+    found = []
+    for most in (1_000_000, 2):          # hashes of repeated rows broadcast, or joined by shuffle
+        monkeypatch.setattr(ft, "BROADCAST_HASHES", most)
+        found.append(sorted(r[ft.ROW] for r in ft.with_row_ids(df).collect()))
+    numbers = pd.Series(values).groupby(pd.Series(values), dropna=False).cumcount() + 1
+    plain = spark.createDataFrame([(None if pd.isna(v) else int(v), int(n)) for v, n in zip(values, numbers)], "v int, n long")
+    want = sorted(r[0] for r in plain.select(F.xxhash64(F.xxhash64("v"), "n")).collect())
+    assert found == [want, want] and len(set(want)) == len(values)
+    once = ft.with_row_ids(spark.range(1000))
+    assert "Window" not in once._jdf.queryExecution().toString()
+
+
+def test_kmeans_gets_vectors_that_it_may_keep(spark, monkeypatch):
+    seen = []
+
+    class Watched(us.KMeans):
+        def fit(self, data):
+            seen.append((data.columns, data.storageLevel.useMemory))
+            return super().fit(data)
+
+    monkeypatch.setattr(us, "KMeans", Watched)
+    rows = spark.range(60).selectExpr("id AS _rid", "cast(id % 2 * 10 + id / 60 AS double) AS a")
+    data = ft.with_vector(rows, ["a"]).select(ft.ROW, "features").persist()
+    try:
+        assert us.silhouette(data, 2) > 0.9
+    finally:
+        data.unpersist()
+    assert seen == [(["features"], False)]
