@@ -5,6 +5,7 @@ import math
 import random
 import re
 import tempfile
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -308,3 +309,21 @@ def test_blocks_get_back_what_others_count():
     out = ngrams._summed(lists)
     assert [ngrams._expand(o).tolist() for o in out["others"]] == [[0, 3, 0], [2, 0]]
     assert out["n"].sum() == 16 and out["distinct"].sum() == 3
+
+
+def test_few_texts_of_a_batch_are_python_objects():
+    mail, n = "ann@example.org", 1500
+    text = "x" * 20_000 + mail + "y"
+    spans = [{"start": 20_000, "end": 20_000 + len(mail), "kind": "email", "value": mail, "gender": "n"}]
+    other = "bob@example.org"
+    arrays = (pa.array([text] * n), pa.array([spans] * n),
+              pa.array([[{"kind": "email", "value": mail, "surrogate": other}]] * n))
+    tracemalloc.start()
+    try:
+        out = private._replaced.func(*arrays)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.to_pylist() == ["x" * 20_000 + other + "y"] * n
+    assert peak < 10_000_000             # all at once: twice 30 million
+    assert len(private._replaced.func(*(a.slice(0, 0) for a in arrays))) == 0
