@@ -311,6 +311,27 @@ def test_blocks_get_back_what_others_count():
     assert out["n"].sum() == 16 and out["distinct"].sum() == 3
 
 
+def test_block_is_scored_in_little_memory():
+    rng, n = np.random.default_rng(1), 400_000
+    tokens = rng.zipf(1.2, n) % 30_000
+    tokens[999::1000] = 29_999
+    words, tokens = np.unique(tokens, return_inverse=True)
+    hashes = np.sort(rng.integers(0, 2 ** 63, len(words), dtype=np.uint64))
+    row = {"docs": list(range(400)), "lengths": np.full(400, 1000), "held": [i % 5 == 0 for i in range(400)],
+           "tokens": ngrams._squeeze(tokens), "words": ngrams._squeeze_sorted(hashes)}
+    tracemalloc.start()
+    block = ngrams.Block(row, 3)
+    totals = [block.counts(level) for level in range(3)]
+    with tempfile.TemporaryDirectory() as folder:
+        out = ngrams.score_block(block, totals, int(totals[0].sum()), len(words), 1000.0, folder)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 210 * n
+    assert out["n_tokens"].sum() == n
+    for level in range(3):
+        assert (np.diff(block.codes[level]) > 0).all()
+
+
 def test_few_texts_of_a_batch_are_python_objects():
     mail, n = "ann@example.org", 1500
     text = "x" * 20_000 + mail + "y"
