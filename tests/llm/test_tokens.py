@@ -222,6 +222,24 @@ def test_lattices_are_small_and_samples_do_not_depend_on_them(monkeypatch):
     assert len(made) == 3 and max(made[:2]) <= 520_000 and got[0] == got[1]
 
 
+def test_texts_of_a_lattice_draw_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdeiou"), 6)) for _ in range(40)) for _ in range(50)]
+    calls, walk = [], segment.Lattice.walk
+    monkeypatch.setattr(segment.Lattice, "walk", lambda self, *a: calls.append(len(a[0])) or walk(self, *a))
+    run = segment._encoded(segment._path(None), 3)
+
+    def samples(some):
+        batch = pa.RecordBatch.from_arrays([pa.array(some), pa.array([texts[i] for i in some]), pa.array(["x"] * len(some))], ["a", "b", "c"])
+        return {(r["doc_id"], r["sample"]): (r["ids"], r["log_prob"], r["inclusion"]) for out in run([batch]) for r in out.to_pylist()}
+    together = samples(range(50))
+    assert len(calls) == 3 and calls[0] == 50 * 40       # a walk a round, not one a text
+    alone = {}
+    for i in range(50):
+        alone |= samples([i])
+    assert together == alone and len(together) == 150
+
+
 def test_segmentations_spell_the_text(spark):
     rng = random.Random(6)
     texts = ["  two  spaces\nnl\t ", "日本 é😀 \x00", "▁odd ▁▁", "x" * 3000, " " * 500, "a", *(" ".join(
