@@ -18,6 +18,7 @@ from plumbline.functions.words import LINK, MAIL, SPACE, SPECIAL, STOP_WORDS, TA
 MIN_DOCS = 2
 MATRIX_TERMS = 5000          # text columns of an assembled matrix
 MOST_BROADCAST_TERMS = 20_000
+TEXTS_AT_ONCE = 500          # of an Arrow batch
 
 
 def clean_text(c: Column) -> Column:
@@ -61,10 +62,32 @@ def counted(terms: Column) -> Column:
     return F.transform(F.array(ordered), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(none))[0]
 
 
+def _counts_of_texts(batches):
+    """Words and word pairs of each text with their counts, from its words; few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(start, TEXTS_AT_ONCE)
+            sizes = part.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            words, row = part.column(1).flatten(), np.repeat(np.arange(len(sizes)), sizes)
+            goes_on = row[1:] == row[:-1]
+            pairs = pc.binary_join_element_wise(words.slice(0, max(0, len(words) - 1)).filter(pa.array(goes_on)),
+                                                words.slice(1).filter(pa.array(goes_on)), pa.scalar(" ", words.type))
+            terms = pa.concat_arrays([words, pairs]).dictionary_encode()
+            n_terms = max(1, len(terms.dictionary))
+            cells, tf = np.unique(np.concatenate([row, row[1:][goes_on]]) * n_terms + terms.indices.to_numpy(), return_counts=True)
+            of, term = np.divmod(cells, n_terms)
+            ends = np.cumsum(np.bincount(of, minlength=len(sizes)))
+            entries = pa.StructArray.from_arrays([terms.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())], ["term", "tf"])
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, entries)], ["key", "terms"])
+
+
 def term_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, terms``: one row per text with its words and word pairs and their counts, written once."""
-    terms = one_two_grams(kept_tokens(clean_text(quoted(text).cast("string"))))
-    return cut_lineage(df.select(quoted(key), counted(terms).alias("terms")))
+    words = df.select(quoted(key).alias("key"), kept_tokens(clean_text(quoted(text).cast("string"))).alias("words"))
+    vectors = words.mapInArrow(
+        _counts_of_texts, f"key {words.schema['key'].dataType.simpleString()}, terms array<struct<term:string,tf:bigint>>")
+    return cut_lineage(vectors.select(F.col("key").alias(key), "terms"))
 
 
 def vocabulary(vectors: DataFrame, max_terms: int | None = None, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -85,7 +108,7 @@ def _weigh(key_type: pa.DataType, terms: list[str], indexes: list[int], idf: lis
     """Weights of whole texts: all terms of a text are in its row, so its length is known there."""
     def weigh(batches):
         known, number, weight_of = pa.array(terms, pa.string()), np.array(indexes, np.int32), np.array(idf)
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             vectors = batch.column(1)
             cells = vectors.flatten()
             row = np.repeat(np.arange(len(vectors)), vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))

@@ -211,3 +211,27 @@ def test_missing_cooccurrence_of_many_columns(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert got["c7", "c450"] == pytest.approx(1.0)
     assert missing_cooccurrence(df.limit(0), names[:3]).count() == 0
+
+
+def test_term_counts_of_few_texts_at_a_time(spark):
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from plumbline.plans import text_features as tf
+    rng = np.random.default_rng(4)
+    words = ["apple", "pear", "plum", "quince", "the", "of", "ab"]
+    texts = [None, "", "plum", "the of", *(" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(1200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r["id"]: {t["term"]: t["tf"] for t in r["terms"]} for r in tf.term_vectors(df, "id", "text").collect()}
+    for i, text in enumerate(texts):
+        kept = [w for w in (text or "").split() if w not in ("the", "of", "ab")]
+        assert got[i] == Counter(kept + [f"{a} {b}" for a, b in zip(kept, kept[1:])])
+    # weights are made for a bounded number of texts of an Arrow batch
+    entry = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array([[{"term": "plum", "tf": 1}]] * 1300, entry)], ["key", "terms"])
+    out = list(tf._weigh(pa.int64(), ["pear", "plum"], [0, 1], [1.0, 2.0])([batch]))
+    assert max(b.num_rows for b in out) <= tf.TEXTS_AT_ONCE
+    assert [k for b in out for k in b.column(0).to_pylist()] == list(range(1300))
+    assert {w for b in out for w in b.column(3).to_pylist()} == {1.0}
