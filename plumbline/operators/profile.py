@@ -1,5 +1,6 @@
 """Column facts, column roles and the table profile shared by the other operators."""
 
+import math
 import re
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -22,6 +23,9 @@ ID_NAMES = {"uuid", "guid", "zipcode", "postcode", "fips", "oid", "uid", "nid",
             "sid", "cid"}
 ID_SUFFIXES = ("_id", "_Id", "_ID", "_idx", "_Idx", "_cd", "_Cd")
 
+# Whole numbers whose 5 % quantile of non-zero values is above this are codes.
+CODES_ABOVE, CODES_AT = 100, 0.05
+
 IDENTIFIER, ENTITY_KEY, NUMERIC, CATEGORICAL, FREE_TEXT, TARGET, UNSUPPORTED = (
     "identifier", "entity_key", "numeric", "categorical", "free_text", "target", "unsupported")
 
@@ -33,7 +37,7 @@ def named_like_identifier(name: str) -> bool:
 
 
 def moments(df: DataFrame, names: list[str]) -> DataFrame:
-    """One pass: ``column, n_rows, n, mean, std, min, max, skew_pop, kurt_pop, n_zero, integral``."""
+    """One pass: ``column, n_rows, n, mean, std, min, max, skew_pop, kurt_pop, n_zero, integral, n_low``."""
     per = {}
     for c in names:
         x = as_double(c)
@@ -42,8 +46,9 @@ def moments(df: DataFrame, names: list[str]) -> DataFrame:
             "min": F.min(x), "max": F.max(x), "skew_pop": F.skewness(x),
             "kurt_pop": F.kurtosis(x), "n_zero": F.count_if(x == 0),
             "integral": F.count_if(x != F.rint(x)) == 0,
+            "n_low": F.count_if((x != 0) & (x <= CODES_ABOVE)),
         }
-    return aggregate_long(df, per, buffers=20)
+    return aggregate_long(df, per, buffers=21)
 
 
 def corrected_skewness(skew: Column, n: Column) -> Column:
@@ -91,7 +96,8 @@ class ColumnFacts:
     kurtosis: float | None = None
     n_zero: int = 0
     integral: bool = False
-    p5_nonzero: float | None = None
+    n_low: int | None = None        # non-zero values up to CODES_ABOVE
+    p5_nonzero: float | None = None     # where the counts do not settle whether it is above CODES_ABOVE
     words: float | None = None
     length: float | None = None
     words_std: float | None = None
@@ -102,6 +108,27 @@ class ColumnFacts:
     def ratio(self) -> float:
         return self.n_distinct / self.n_rows if self.n_rows else 0.0
 
+    @property
+    def may_be_codes(self) -> bool:
+        return self.kind == "numeric" and self.integral and self.n_distinct > 50 and self.ratio <= 0.5
+
+    @property
+    def high(self) -> bool | None:
+        """Whether the 5 % quantile of the non-zero values is above ``CODES_ABOVE``; None when counts do not tell.
+
+        It lies between the values of the two ranks around it, so it is above when
+        the lower one is and not above when the upper one is not.
+        """
+        if self.p5_nonzero is not None:
+            return self.p5_nonzero > CODES_ABOVE
+        if self.n_low is None:
+            return None
+        n = self.n - self.n_zero
+        if not n:
+            return False
+        rank = (n - 1) * CODES_AT
+        return True if self.n_low <= math.floor(rank) else False if self.n_low > math.ceil(rank) else None
+
     @property
     def null_share(self) -> float:
         return 1 - self.n / self.n_rows if self.n_rows else 0.0
@@ -145,7 +172,7 @@ class Profile:
             f = out[r["column"]]
             f.n_rows, f.n, f.n_zero = r["n_rows"], r["n"], r["n_zero"]
             f.mean, f.std, f.min, f.max = r["mean"], r["std"], r["min"], r["max"]
-            f.integral = r["integral"]
+            f.integral, f.n_low = r["integral"], r["n_low"]
             if f.n > 2 and r["skew_pop"] is not None:
                 f.skewness = r["skew_pop"] * (f.n * (f.n - 1)) ** 0.5 / (f.n - 2)
             if f.n > 3 and r["kurt_pop"] is not None:
@@ -157,7 +184,7 @@ class Profile:
             f.n_distinct, f.top_n = r["n_distinct"], r["top_n"]
             if f.kind != "numeric":
                 f.n = r["n_present"]
-        n_rows = self.df.count() if texts else 0
+        n_rows = out[numbers[0]].n_rows if numbers else self.df.count() if texts else 0
         for c in texts:
             out[c].n_rows = n_rows
         # only these can be anything but categories or identifiers
@@ -165,15 +192,16 @@ class Profile:
         for r in text_shape(self.df, shaped).collect() if shaped else []:
             for k in ("words", "length", "words_std", "address", "coordinate"):
                 setattr(out[r["column"]], k, r[k])
-        codes = [f for f in out.values() if f.kind == "numeric" and f.integral
-                 and f.n_distinct > 50 and f.ratio <= 0.5]
-        p5 = exact_quantiles(
-            self.df, {f.name: F.when(as_double(f.name) != 0, as_double(f.name)) for f in codes},
-            [0.05], n_rows=max((f.n_rows for f in codes), default=0))
-        for name, (value,) in p5.items():
-            out[name].p5_nonzero = value
+        self._add_quantiles([f for f in out.values() if f.may_be_codes and f.high is None])
         return out
 
+    def _add_quantiles(self, facts: list[ColumnFacts]) -> None:
+        p5 = exact_quantiles(
+            self.df, {f.name: F.when(as_double(f.name) != 0, as_double(f.name)) for f in facts},
+            [CODES_AT], n_rows=max((f.n_rows for f in facts), default=0))
+        for f in facts:
+            f.p5_nonzero = p5[f.name][0]
+
     @property
     def n_rows(self) -> int:
         return max((f.n_rows for f in self.facts.values()), default=0)
@@ -202,7 +230,7 @@ class Profile:
         if number:
             if f.integral and f.ratio > 0.5:
                 return ENTITY_KEY, "B5"
-            if f.integral and f.n_distinct > 50 and (f.p5_nonzero or 0) > 100:
+            if f.integral and f.n_distinct > 50 and f.high:
                 return CATEGORICAL, "B6"
             if f.integral and f.n_distinct <= 30:
                 small = f.n == 0 or (f.min >= 0 and f.max <= 10)
@@ -280,6 +308,8 @@ def column_views(profile: Profile) -> DataFrame:
 
 def columns_by_rule(profile: Profile, rule: str) -> DataFrame:
     """The columns one role rule decided, with the facts the rule looked at."""
+    shown = [profile.facts[c] for c, (_, r) in profile.roles.items() if r == rule]
+    profile._add_quantiles([f for f in shown if f.may_be_codes and f.p5_nonzero is None])
     rows = [(c, v, profile.facts[c].ratio, profile.facts[c].n_distinct,
              profile.facts[c].p5_nonzero)
             for c, (v, r) in profile.roles.items() if r == rule]

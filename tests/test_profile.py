@@ -88,3 +88,26 @@ def test_report_has_severe_rows_and_missing_ranking(spark):
     report = full_report(df, row_key="id")
     assert [r["column"] for r in report["missing_ranking"].collect()] == ["y", "x"]
     assert "severe_rows" in report and report["severe_rows"].columns == ["id", "missing_pct"]
+
+
+def test_codes_are_settled_by_counts(spark, monkeypatch):
+    import numpy as np
+
+    from plumbline.operators import profile
+    rng = np.random.default_rng(5)
+    n = 2000
+    columns = {
+        "low": rng.integers(1, 90, n), "high": rng.integers(200, 900, n), "mixed": rng.integers(0, 900, n),
+        "few_low": np.where(np.arange(n) < 50, 7, rng.integers(101, 300, n)),
+        "edge": np.where(np.arange(n) < 100, np.arange(n) % 60 + 41, 101 + np.arange(n) % 60),     # its 5 % lies between 100 and 101
+        "zeros": np.where(np.arange(n) % 3 == 0, 0, rng.integers(150, 400, n))}
+    df = spark.createDataFrame(list(zip(*(c.tolist() for c in columns.values()), strict=True)), list(columns))
+    asked, exact = [], profile.exact_quantiles
+    monkeypatch.setattr(profile, "exact_quantiles", lambda df, of, *a, **k: asked.extend(of) or exact(df, of, *a, **k))
+    p = Profile(df)
+    for c, x in columns.items():
+        above = np.quantile(x[x != 0], 0.05) > 100
+        assert (p.roles[c][1] == "B6") == above, c
+    assert asked == ["edge"]                 # the others need no pass of their own
+    shown = {r["column"]: r["p5_nonzero"] for r in profile.columns_by_rule(p, "B6").collect()}
+    assert shown == pytest.approx({c: np.quantile(columns[c][columns[c] != 0], 0.05) for c in shown})
