@@ -111,3 +111,19 @@ def test_codes_are_settled_by_counts(spark, monkeypatch):
     assert asked == ["edge"]                 # the others need no pass of their own
     shown = {r["column"]: r["p5_nonzero"] for r in profile.columns_by_rule(p, "B6").collect()}
     assert shown == pytest.approx({c: np.quantile(columns[c][columns[c] != 0], 0.05) for c in shown})
+
+
+def test_few_ranks_travel_to_the_pairs(spark, monkeypatch):
+    import pandas as pd
+
+    from plumbline.operators import association as a
+    rows = [(i % 7 if i % 5 else None, (i * i) % 101, float((i * 37) % 211)) for i in range(500)]
+    df = spark.createDataFrame(rows, "few int, more int, y double")
+    joins, split = [], a.split_join
+    monkeypatch.setattr(a, "split_join", lambda *args, **k: joins.append(args[2]) or split(*args, **k))
+    want = pd.DataFrame(rows, columns=["few", "more", "y"]).corr("spearman")["y"]
+    for most, shuffled in ((100_000, 0), (0, 2)):
+        monkeypatch.setattr(a, "BROADCAST_RANKS", most)
+        joins.clear()
+        got = {r["column"]: r["spearman"] for r in a.target_spearman(a.Target(df, "y"), ["few", "more"]).collect()}
+        assert got == pytest.approx({"few": want["few"], "more": want["more"]}) and len(joins) == shuffled
