@@ -323,3 +323,23 @@ def test_kmeans_gets_vectors_that_it_may_keep(spark, monkeypatch):
     finally:
         data.unpersist()
     assert seen == [(["features"], False)]
+
+
+def test_rounds_in_one_task_equal_rounds_by_jobs(spark, monkeypatch):
+    df = spark.range(1200).select((F.col("id") % 3).cast("double").alias(sv.LABEL), (F.rand(3) + F.col("id") % 3).alias("x"),
+                                  F.rand(4).alias("z"), (F.col("id") % 5).cast("double").alias("c"), (F.col("id") % 5 == 0).alias("_val"))
+    data, sc = ft.with_vector(df, ["x", "z", "c"]).repartition(4).cache(), spark.sparkContext
+    monkeypatch.setattr(boosting, "CHUNK", 100)
+    for classes in (3, 0):
+        found = []
+        for held in (False, True):
+            model = sv.Boosting(data, "classification" if classes else "regression", classes)
+            assert model.held
+            model.held = held
+            name = f"rounds {classes} {held}"
+            sc.setJobGroup(name, name)
+            model.run(7, 15, 3)
+            sc.setLocalProperty("spark.jobGroup.id", None)
+            assert model.rounds == 7 and (not held or len(sc.statusTracker().getJobIdsForGroup(name)) == 1)
+            found.append((model.train_losses + model.val_losses, sorted(r["prediction"] for r in model.predictions(True).collect())))
+        assert found[0][0] == pytest.approx(found[1][0]) and found[0][1] == pytest.approx(found[1][1])
