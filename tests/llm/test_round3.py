@@ -201,3 +201,31 @@ def test_thresholds():
     labels = np.array([0.0, 0.0, 1.0, 1.0] * 20)
     per, rest = toxic.thresholds(scores, labels, ["a"] * 76 + ["b", "b", None, "b"])
     assert set(per) == {"a"} and per["a"] == pytest.approx(0.25) and rest == pytest.approx(0.25)
+
+
+def test_toxic_model_and_thresholds_come_from_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxic, "SAMPLE_TOXIC", 30)
+    monkeypatch.setattr(toxic, "SAMPLE_CLEAN", 30)
+    monkeypatch.setattr(toxic, "SHARE_DOCS", 500)
+    rng = np.random.default_rng(5)
+    bad, good = [f"vile{chr(97 + i)}{i}" for i in range(24)], [f"calm{chr(97 + i)}{i}" for i in range(24)]
+    text = lambda y: " ".join(rng.permutation([*[f"w{k}" for k in rng.integers(0, 300, 20)], (bad if y else good)[rng.integers(24)]]))
+    rows = [(i, text(i % 3 == 0), "a" if i % 2 else "b", int(i % 3 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    got = toxic.score_toxicity(docs, labels).collect()
+    held = [(r["predicted"], int(r["doc_id"] % 3 == 0)) for r in got if r["held_out"]]
+    assert np.mean([a == b for a, b in held]) > 0.97
+    again = toxic.score_toxicity(docs.repartition(5), labels.repartition(3)).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx({r["doc_id"]: r["score"] for r in again}, abs=1e-6)
+
+
+def test_thresholds_of_a_table_equal_those_of_arrays(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 400)
+    score = np.round(np.clip(0.3 * y + rng.random(400) * 0.7, 0, 1), 2)
+    lang = [("a", "b", "rare", None)[min(3, i % 50) if i % 50 in (2, 3) else i % 2] for i in range(400)]
+    table = spark.createDataFrame([(c, float(s), int(v)) for c, s, v in zip(lang, score, y)], "lang string, score double, y int")
+    per, rest = toxic.thresholds(score, y.astype(float), lang)
+    got, got_rest = toxic.spread_thresholds(table)
+    assert got == pytest.approx(per) and got_rest == pytest.approx(rest)
