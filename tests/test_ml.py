@@ -343,3 +343,34 @@ def test_rounds_in_one_task_equal_rounds_by_jobs(spark, monkeypatch):
             assert model.rounds == 7 and (not held or len(sc.statusTracker().getJobIdsForGroup(name)) == 1)
             found.append((model.train_losses + model.val_losses, sorted(r["prediction"] for r in model.predictions(True).collect())))
         assert found[0][0] == pytest.approx(found[1][0]) and found[0][1] == pytest.approx(found[1][1])
+
+
+def test_a_table_of_several_tasks_is_held_by_one_for_all_rounds(spark, monkeypatch):
+    df = spark.range(3000).select((F.rand(3) + F.rand(4) > 1).cast("double").alias(sv.LABEL), F.rand(3).alias("x"), F.rand(4).alias("z"),
+                                  (F.col("id") % 7).cast("double").alias("c"), (F.col("id") % 3 == 0).alias("_val"))
+    data, sc, found = ft.with_vector(df, ["x", "z", "c"]).repartition(4).cache(), spark.sparkContext, []
+    monkeypatch.setattr(boosting, "TASK_ROWS", 1000)
+    for size in (boosting.HELD_BYTES, 1000):
+        monkeypatch.setattr(boosting, "HELD_BYTES", size)
+        model = sv.Boosting(data, "classification", 2)
+        assert model.tasks == 3 and model.held == (size > 1000)
+        sc.setJobGroup(f"several {size}", "rounds")
+        model.run(5, 15, 3)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert not model.held or len(sc.statusTracker().getJobIdsForGroup(f"several {size}")) == 1
+        found.append(model.train_losses + model.val_losses)
+    assert found[0] == pytest.approx(found[1])
+
+
+def test_joint_histograms_give_those_of_each_feature():
+    rng, bins = np.random.default_rng(6), [64, 5, 3, 64, 64, 25]
+    x, y = np.stack([rng.integers(0, b, 5000) for b in bins]).astype(np.uint8), rng.integers(0, 2, 5000).astype(float)
+    batch = [boosting._block(False, x[:, a:a + 700], y[a:a + 700], np.zeros((1, len(y[a:a + 700]))), []) for a in range(0, 5000, 700)]
+    groups = boosting.joined(bins, boosting.JOINT_ROWS)
+    assert sorted(sum(groups, [])) == list(range(6)) and len(groups) < 6 and len(boosting.joined(bins, 10)) == 6
+    held = boosting._Held(batch, bins, [1], groups)
+    held._residuals(0, True)
+    counts, sums, squares = held._sums(1, 0, True).reshape(3, -1)
+    t = np.where(y == 1, 1.0, -1.0)
+    assert counts.tolist() == squares.tolist() == np.concatenate([np.bincount(x[j], minlength=b) for j, b in enumerate(bins)]).tolist()
+    assert sums.tolist() == np.concatenate([np.bincount(x[j], t, b) for j, b in enumerate(bins)]).tolist()
