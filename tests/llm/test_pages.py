@@ -220,3 +220,31 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, FOLDER)
     assert {r.doc_id for r in packed.collect()} == set(groups.values())
     assert packed.columns == stages["packing"](spark, masked, FOLDER).columns
+
+
+def test_vectors_pruned_and_searched_together_are_like_single_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(30, 16))
+    unit = centre[rng.integers(0, 30, 400)] + 0.15 * rng.normal(size=(400, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T
+    ids = np.argsort(-near, axis=1, kind="stable")[:, 1:50]
+    ids[::3, 40:] = -1
+    cos = np.where(ids >= 0, np.take_along_axis(near, ids, 1), -2)
+    want = [vectors.prune(row[row >= 0], near[i][row[row >= 0]], unit, 9, 1.2) for i, row in enumerate(ids)]
+    lists = vectors.build(unit)
+    edges = np.full((400, max(map(len, lists))), -1)
+    for i, x in enumerate(lists):
+        edges[i, :len(x)] = x
+    found = None
+    for cells, expanded in ((1 << 20, 1 << 14), (1, 3)):
+        monkeypatch.setattr(vectors, "PRUNED_CELLS", cells)
+        monkeypatch.setattr(vectors, "EXPANDED", expanded)
+        assert vectors.prune_many(ids, cos, unit, 9, 1.2) == want
+        query, hits = vectors.search_many(unit, unit, edges, np.stack([np.zeros(400, int), np.arange(400)], 1), 0.98)
+        assert found is None or (query.tolist(), hits.tolist()) == found
+        found = query.tolist(), hits.tolist()
+    one = [vectors.search(unit[i], unit, edges, [0, i], 0.98).tolist() for i in range(400)]
+    assert one == [hits[query == i].tolist() for i in range(400)]
+    true = near >= 0.98
+    assert true[query, hits].all() and len(hits) > 0.99 * true.sum() > 400
